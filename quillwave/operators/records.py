@@ -22,17 +22,22 @@ def latest(df: DataFrame, keys: list[str], order: list[str], values: list[str])
     return grouped.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in values])
 
 
-def prediction_records(predictions: DataFrame) -> DataFrame:
-    """(run_id, filename, start_ms, split, units): the latest row of each prediction.
+def prediction_records(predictions: DataFrame, extra: bool = False) -> DataFrame:
+    """(run_id, filename, start_ms, units, split): the latest row of each prediction.
 
-    ``units`` is the probability in ten-thousandths, NULL if unusable.
+    ``units`` is the probability in ten-thousandths, NULL if unusable.  With
+    ``extra`` also subject, grid and label.
     """
-    rows = predictions.select(
-        F.col("run_id"),
-        normal("filename").alias("filename"),
-        millis("window_start_sec").alias("start_ms"),
-        normal("split").alias("split"),
-        prob_units("prob").alias("units"),
-        F.col("written_at"),
-    )
-    return latest(rows, ["run_id", "filename", "start_ms"], ["written_at"], ["units", "split"])
+    values = ["units", "split", *(["subject", "grid", "label"] if extra else [])]
+    columns = {
+        "run_id": F.col("run_id"),
+        "filename": normal("filename"),
+        "start_ms": millis("window_start_sec"),
+        "units": prob_units("prob"),
+        "split": normal("split"),
+        "written_at": F.col("written_at"),
+    }
+    if extra:
+        columns |= {"subject": normal("subject_id"), "grid": F.col("on_uniform_grid"), "label": F.col("label").cast("int")}
+    rows = predictions.select(*[c.alias(k) for k, c in columns.items()])
+    return latest(rows, ["run_id", "filename", "start_ms"], ["written_at"], values)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwave.plans import core_problems
+from quillwave.plans import core_problems, q_events
 
-MODULES = [core_problems]
+MODULES = [core_problems, q_events]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return core_problems.p4_found(spark, d)
+    """Scores to candidate events to interval scores, summed by run."""
+    return q_events.fold_totals(spark, d)
