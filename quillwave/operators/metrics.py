@@ -41,7 +41,7 @@ def _by_score(records: DataFrame, keys: list[str], score: str, label: str) -> Da
     counts = records.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*keys, F.col(score).alias("_x")).agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("long")).alias("_p"))
     down, whole = Window.partitionBy(*keys).orderBy(F.col("_x").desc()), Window.partitionBy(*keys)
     return counts.select(
-        *keys, "_x", "_n", "_p", F.sum("_p").over(down).alias("_tp"), F.sum("_n").over(down).alias("_upto"), F.sum("_p").over(whole).alias("_P"), F.sum("_n").over(whole).alias("_N")
+        *keys, "_x", "_n", "_p", F.sum("_p").over(down).alias("_tp"), F.sum("_n").over(down).alias("_upto"), F.sum("_p").over(whole).alias("_allp"), F.sum("_n").over(whole).alias("_alln")
     )
 
 
@@ -53,14 +53,14 @@ def auc_roc(records: DataFrame, keys: list[str], score: str, label: str) -> Data
     s = _by_score(records, keys, score, label)
     above = F.col("_tp") - F.col("_p")  # positives with a greater score
     wins = F.sum((F.col("_n") - F.col("_p")) * (above + F.col("_p") / 2))
-    out = s.groupBy(*keys).agg(wins.alias("_w"), F.max("_P").alias("_P"), F.max("_N").alias("_N"))
-    return out.select(*keys, ratio(F.col("_w"), F.col("_P") * (F.col("_N") - F.col("_P"))).alias("auc"))
+    out = s.groupBy(*keys).agg(wins.alias("_w"), F.max("_allp").alias("_allp"), F.max("_alln").alias("_alln"))
+    return out.select(*keys, ratio(F.col("_w"), F.col("_allp") * (F.col("_alln") - F.col("_allp"))).alias("auc"))
 
 
 def average_precision(records: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """(keys, ap): the sum over distinct scores of the gain in recall times precision."""
     s = _by_score(records, keys, score, label)
-    step = ratio(F.col("_p"), F.col("_P")) * ratio(F.col("_tp"), F.col("_upto"))
+    step = ratio(F.col("_p"), F.col("_allp")) * ratio(F.col("_tp"), F.col("_upto"))
     return s.groupBy(*keys).agg(F.sum(step).alias("ap"))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwave.plans import core_problems, q_events
+from quillwave.plans import core_problems, q_catalog, q_events, q_metrics
 
-MODULES = [core_problems, q_events]
+MODULES = [core_problems, q_events, q_metrics, q_catalog]
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
