@@ -74,6 +74,7 @@ def contiguous_runs(spans: DataFrame, keys: list[str], step_ms: int) -> DataFram
 def kth_largest(records: DataFrame, keys: list[str], score: str, fraction: str | float) -> DataFrame:
     """(keys, n, k, threshold): the k-th largest score with k = round-half-even(fraction * n), from 1 to n.
 
+    A fraction that is a column, one value per key, comes out too.
     A fraction of 0 or less flags nothing: the threshold is above every score.
     Counted per distinct score first, so a key with very many records is small.
     """
@@ -86,4 +87,4 @@ def kth_largest(records: DataFrame, keys: list[str], score: str, fraction: str |
     k = F.greatest(F.lit(1).cast("long"), F.least(F.col("n"), F.bround(share * F.col("n")).cast("long")))
     at = F.max(F.when(F.col("_upto") >= k, F.col("_x")))
     agg = ranked.withColumn("k", k).groupBy(*keys, "n", "k", *extra).agg(at.alias("_t"), F.max("_x").alias("_top"))
-    return agg.select(*keys, "n", "k", F.when(share <= 0, F.col("_top") + 1).otherwise(F.col("_t")).alias("threshold"))
+    return agg.select(*keys, *extra, "n", "k", F.when(share <= 0, F.col("_top") + 1).otherwise(F.col("_t")).alias("threshold"))

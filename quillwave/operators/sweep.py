@@ -70,5 +70,4 @@ def criteria_met(points: DataFrame, least_sens: float, most_fa: float) -> DataFr
 def percentile_transfer(tuning: DataFrame, test: DataFrame, points: DataFrame, run: str) -> DataFrame:
     """(run, fraction, n, k, threshold): the threshold that flags on ``test`` the share flagged on ``tuning``."""
     flagged = tuning.join(points.select(run, "threshold"), run).groupBy(run).agg(F.avg((F.col("units") >= F.col("threshold")).cast("int")).alias("fraction"))
-    shares = test.join(flagged, run)
-    return kth_largest(shares, [run], "units", "fraction").join(flagged, run)
+    return kth_largest(test.join(flagged, run), [run], "units", "fraction")
