@@ -3,11 +3,13 @@
 A source's cutoff is an order statistic: the k-th largest of its n scores, with
 k the target share of n, rounded up.  It is the minimiser of the convex pinball
 loss  F(t) = sum(max(x - t, 0)) + (k - 1/2) t,  which is found by cutting
-planes: each round sums every source's loss and subgradient at one trial point
-in one aggregate over all sources, and the next trial point is where the two
-tangents of the bracket cross.  The scores next to the trial point come out of
-the same aggregate, so a round ends by snapping to the exact neighbouring score
-if that is the minimiser, and by moving the bracket onto it otherwise.
+planes: each round sums every source's loss and subgradient at a few trial
+points in one aggregate over all sources.  The trial points are where the two
+tangents of the bracket cross, and the middles on either side, so the bracket
+at least halves.  The scores next to a trial point come out of the same
+aggregate, so a round ends by snapping to the exact neighbouring score if that
+is the minimiser, and by moving the bracket onto it otherwise.  Scores outside
+the brackets are summed up in them and dropped from the later rounds.
 
 Scores are integers (units), losses are doubled so that all sums are integers
 and exact.  Scores are first counted per (source, score) with a partial
@@ -17,23 +19,26 @@ one row per distinct score.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwave.session import materialise
 
-#: Every so many rounds the bracket is halved, which bounds the number of rounds.
-HALVE_EVERY = 4
-
-
 def histogram(records: DataFrame, source: list[str], score: str) -> DataFrame:
     """(source, x, w): how often each usable score occurs. NULL scores and sources are left out."""
     rows = records.dropna(subset=[*source, score])
     return rows.groupBy(*source, F.col(score).cast("long").alias("x")).agg(F.count(F.lit(1)).alias("w"))
 
 
+_STATE = ["keep_permille", "n", "k", "lo", "hi", "f_lo", "g_lo", "f_hi", "g_hi", "over", "over_sum", "cutoff"]
+
+
 def _start(hist: DataFrame, targets: DataFrame, source: list[str]) -> DataFrame:
-    """The bracket from the least to the greatest score, and cutoffs already decided by it."""
+    """The bracket from the least to the greatest score, and cutoffs already decided by it.
+
+    ``f`` and ``g`` are loss and subgradient at the bracket's ends, ``over`` and
+    ``over_sum`` count the scores above it and sum their distances from it.
+    """
     ends = hist.groupBy(*source).agg(
         F.sum("w").alias("n"), F.sum(F.col("w") * F.col("x")).alias("s"), F.min(F.struct("x", "w")).alias("a"), F.max(F.struct("x", "w")).alias("b")
     )
@@ -45,40 +50,55 @@ def _start(hist: DataFrame, targets: DataFrame, source: list[str]) -> DataFrame:
         *source, "keep_permille", "n", "k", lo.alias("lo"), hi.alias("hi"),
         (2 * (F.col("s") - n * lo) + (2 * k - 1) * lo).alias("f_lo"), (2 * k - 1 - 2 * (n - F.col("a.w"))).alias("g_lo"),
         ((2 * k - 1) * hi).alias("f_hi"), (2 * k - 1 - 2 * F.col("b.w")).alias("g_hi"),
+        F.lit(0).cast("long").alias("over"), F.lit(0).cast("long").alias("over_sum"),
         F.when(at_top, hi).when(at_bottom, lo).alias("cutoff"),
     )
 
 
-def _trial(halve: bool):
-    """Where the two tangents cross (or the middle), strictly inside the bracket."""
+def _trials() -> Column:
+    """Where the two tangents cross, and the middles on either side, within the bracket."""
     lo, hi = F.col("lo"), F.col("hi")
     cross = (F.col("f_hi") - F.col("f_lo") + F.col("g_lo") * lo - F.col("g_hi") * hi) / (F.col("g_lo") - F.col("g_hi"))
-    point = (lo + hi) / 2 if halve else cross
-    return F.greatest(lo, F.least(hi - 1, F.floor(point).cast("long")))
+    point = F.greatest(lo, F.least(hi - 1, F.floor(cross).cast("long")))
+    half = lambda a, b: F.floor((a + b) / 2).cast("long")
+    return F.array_distinct(F.array(point, half(lo, point), F.least(hi - 1, half(point, hi))))
+
 
+def _inside(hist: DataFrame, state: DataFrame, source: list[str]) -> DataFrame:
+    """The scores within the brackets that are still open."""
+    return hist.join(state.where("cutoff IS NULL").select(*source, "lo", "hi"), source).where("x BETWEEN lo AND hi").select(*source, "x", "w")
 
-def _cut(hist: DataFrame, state: DataFrame, source: list[str], halve: bool) -> DataFrame:
+
+def _cut(hist: DataFrame, state: DataFrame, source: list[str]) -> DataFrame:
     """One round: losses and subgradients at the trial points, then narrower brackets."""
-    open_ = state.where("cutoff IS NULL").withColumn("t", _trial(halve))
+    tried = state.where("cutoff IS NULL").withColumn("t", F.explode(_trials()))
     x, w, t = F.col("x"), F.col("w"), F.col("t")
-    sums = hist.join(open_.select(*source, "t"), source).groupBy(*source).agg(
+    sums = hist.join(tried.select(*source, "t", "lo", "hi"), source).where("x BETWEEN lo AND hi").groupBy(*source, "t").agg(
         F.sum(F.when(x > t, w).otherwise(0)).alias("gt"),
         F.sum(F.when(x > t, w * (x - t)).otherwise(0)).alias("loss"),
         F.max(F.when(x <= t, F.struct("x", "w"))).alias("below"),
         F.min(F.when(x > t, F.struct("x", "w"))).alias("above"),
     )
-    j = open_.join(sums, source)
-    k, gt, loss = F.col("k"), F.col("gt"), F.col("loss")
-    up, down = F.col("above.x"), F.col("below.x")
+    j = tried.join(sums, [*source, "t"])
+    gt = F.col("gt") + F.col("over")
+    loss = F.col("loss") + F.col("over_sum") + F.col("over") * (F.col("hi") - t)
+    k, up, down = F.col("k"), F.col("above.x"), F.col("below.x")
     ge_down, gt_up = gt + F.col("below.w"), gt - F.col("above.w")
     rises = gt >= k  # the minimiser is the score above the trial point or a higher one
-    cutoff = F.when(rises & (gt_up < k), up).when(~rises & (ge_down >= k), down)
-    move = lambda low, value, old: F.when(rises if low else ~rises, value).otherwise(F.col(old)).alias(old)
-    moved = j.select(
-        *source, "keep_permille", "n", "k", move(True, up, "lo"), move(False, down, "hi"),
-        move(True, 2 * (loss - gt * (up - t)) + (2 * k - 1) * up, "f_lo"), move(True, 2 * k - 1 - 2 * gt_up, "g_lo"),
-        move(False, 2 * (loss + gt * (t - down)) + (2 * k - 1) * down, "f_hi"), move(False, 2 * k - 1 - 2 * ge_down, "g_hi"),
-        cutoff.alias("cutoff"),
+    low = F.struct(up.alias("x"), (2 * (loss - gt * (up - t)) + (2 * k - 1) * up).alias("f"), (2 * k - 1 - 2 * gt_up).alias("g"))
+    down_sum = loss + gt * (t - down)
+    high = F.struct(down.alias("x"), (2 * down_sum + (2 * k - 1) * down).alias("f"), (2 * k - 1 - 2 * ge_down).alias("g"), gt.alias("over"), down_sum.alias("over_sum"))
+    rows = j.select(
+        *source, *[c for c in _STATE if c != "cutoff"], F.when(rises, low).alias("low"), F.when(~rises, high).alias("high"),
+        F.when(rises & (gt_up < k), up).when(~rises & (ge_down >= k), down).alias("cutoff"),
+    )
+    # the tightest cuts of the round's trial points
+    old = ["keep_permille", "n", "k", "lo", "hi", "f_lo", "g_lo", "f_hi", "g_hi", "over", "over_sum"]
+    best = rows.groupBy(*source, *old).agg(F.max("low").alias("low"), F.min("high").alias("high"), F.max("cutoff").alias("cutoff"))
+    pick = lambda side, field, name: F.coalesce(F.col(f"{side}.{field}"), F.col(name)).alias(name)
+    moved = best.select(
+        *source, "keep_permille", "n", "k", pick("low", "x", "lo"), pick("high", "x", "hi"), pick("low", "f", "f_lo"), pick("low", "g", "g_lo"),
+        pick("high", "f", "f_hi"), pick("high", "g", "g_hi"), pick("high", "over", "over"), pick("high", "over_sum", "over_sum"), "cutoff",
     )
     return moved.unionByName(state.where("cutoff IS NOT NULL"))
 
@@ -93,14 +113,16 @@ def cutoffs(hist: DataFrame, targets: DataFrame, source: list[str]) -> DataFrame
     Sources without usable scores or without a target don't come out.  Empty
     tables give an empty result.
     """
-    hist = materialise(hist, "scores")
+    whole = hist = materialise(hist, "scores")
     open_count = F.sum(F.col("cutoff").isNull().cast("long"))
     state, seen = materialise(_start(hist, targets, source), "bracket", open=open_count)
     rounds = 0
     while seen["open"]:
         rounds += 1
-        state, seen = materialise(_cut(hist, state, source, rounds % HALVE_EVERY == 0), "bracket", open=open_count)
-    kept = hist.join(state.select(*source, "cutoff"), source).where("x >= cutoff").groupBy(*source).agg(F.sum("w").alias("kept"))
+        if rounds > 1 and rounds & (rounds - 1) == 0:
+            hist = materialise(_inside(hist, state, source), "scores")
+        state, seen = materialise(_cut(hist, state, source), "bracket", open=open_count)
+    kept = whole.join(state.select(*source, "cutoff"), source).where("x >= cutoff").groupBy(*source).agg(F.sum("w").alias("kept"))
     return state.join(kept, source).select(*source, "keep_permille", "n", "k", "cutoff", "kept")
 
 
