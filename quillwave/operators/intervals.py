@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwave.session import materialise
+
 #: Milliseconds in a block: bounds the boundary points a single task sorts for one key.
 BLOCK_MS = 1 << 20
 
@@ -37,7 +39,8 @@ def coverage(df: DataFrame, keys: list[str], start: str, end: str, block: int =
     Copies and nesting change nothing.  An empty table gives an empty result.
     Columns other than the keys and bounds are ignored, whatever their names.
     """
-    edge = boundaries(df, keys, start, end).withColumn("_b", F.floor(F.col("t") / F.lit(block)))
+    # written once: every step below starts from it, with other columns each
+    edge = materialise(boundaries(df, keys, start, end).withColumn("_b", F.floor(F.col("t") / F.lit(block))), "boundaries")
     same_key, in_block = Window.partitionBy(*keys).orderBy("_b"), Window.partitionBy(*keys, "_b").orderBy("t")
     carried = (
         edge.groupBy(*keys, "_b").agg(F.sum("delta").alias("_sum"))
