@@ -20,11 +20,11 @@ import json
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillwave.semantics import millis, normal
-from quillwave.session import materialise, scratch_path
+from quillwave.session import materialise, observed, scratch_path
 from quillwave.sources.layouts import explode_records
 
 #: Text bytes in a bin, and the most recordings one task packs.
@@ -131,8 +131,6 @@ def compact(files: DataFrame, root: str | None = None, target: int = TARGET_BYTE
     frozen, sealed = materialise(manifest(files), "manifest", **seal)
     plan = materialise(bins(frozen, target, block_items), "bins")
 
-    from pyspark.sql import Observation
-
     read, wrote = Observation(), Observation()
     named = files.withColumn("filename", normal("filename")).where("filename IS NOT NULL")
     placed = named.join(plan, "filename").withColumn("checksum", F.xxhash64("part_id", "body"))
@@ -147,15 +145,13 @@ def compact(files: DataFrame, root: str | None = None, target: int = TARGET_BYTE
     data = f"{root}/data-{uuid.uuid4().hex}"
     kept.sortWithinPartitions("bin", "filename", "start_ms").write.partitionBy("bin").option("maxRecordsPerFile", 0).parquet(data)
 
-    expected = {k: wrote.get[k] for k in ("n", "hash")}
-    if expected["n"] == 0:  # no partition directory exists to read a schema from
-        found = expected
-    else:
-        found = spark.read.schema(RECORD).parquet(data).agg(*[c.alias(k) for k, c in _checksum().items()]).first().asDict()
+    again = spark.read.schema(RECORD).parquet(data)
+    found = again.agg(*[c.alias(k) for k, c in _checksum().items()]).first().asDict()
+    expected = observed(wrote, again, _checksum())
     if found != expected:
         raise CompactionError(f"wrote {expected}, read {found}")
-    if any(read.get[k] != sealed[k] for k in seal):
-        raise CompactionError(f"the files changed since the manifest: {sealed}, {read.get}")
+    if expected["n"] and observed(read, frozen, seal) != sealed:
+        raise CompactionError(f"the files changed since the manifest: {sealed}")
     entry = {"data": data, "files": sealed["files"], "rows": expected["n"], "checksum": str(expected["hash"])}
     commit = f"{root}/commit-{uuid.uuid4().hex}.json"
     _put(spark, commit, json.dumps(entry))

@@ -83,8 +83,8 @@ def kth_largest(records: DataFrame, keys: list[str], score: str, fraction: str |
     counts = records.where(F.col(score).isNotNull()).groupBy(*keys, *extra, F.col(score).alias("_x")).agg(F.count(F.lit(1)).alias("_w"))
     whole = Window.partitionBy(*keys)
     down = Window.partitionBy(*keys).orderBy(F.col("_x").desc())
-    ranked = counts.withColumn("n", F.sum("_w").over(whole)).withColumn("_upto", F.sum("_w").over(down))
-    k = F.greatest(F.lit(1).cast("long"), F.least(F.col("n"), F.bround(share * F.col("n")).cast("long")))
-    at = F.max(F.when(F.col("_upto") >= k, F.col("_x")))
-    agg = ranked.withColumn("k", k).groupBy(*keys, "n", "k", *extra).agg(at.alias("_t"), F.max("_x").alias("_top"))
-    return agg.select(*keys, *extra, "n", "k", F.when(share <= 0, F.col("_top") + 1).otherwise(F.col("_t")).alias("threshold"))
+    ranked = counts.withColumn("_n", F.sum("_w").over(whole)).withColumn("_upto", F.sum("_w").over(down))
+    k = F.greatest(F.lit(1).cast("long"), F.least(F.col("_n"), F.bround(share * F.col("_n")).cast("long")))
+    at = F.max(F.when(F.col("_upto") >= F.col("_k"), F.col("_x")))
+    agg = ranked.withColumn("_k", k).groupBy(*keys, "_n", "_k", *extra).agg(at.alias("_t"), F.max("_x").alias("_top"))
+    return agg.select(*keys, *extra, F.col("_n").alias("n"), F.col("_k").alias("k"), F.when(share <= 0, F.col("_top") + 1).otherwise(F.col("_t")).alias("threshold"))

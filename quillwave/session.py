@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 
 
@@ -40,6 +41,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def observed(watched: Observation, table: DataFrame, metrics: dict) -> dict:
+    """What was observed; counted on ``table`` if the optimizer found the input empty and observed nothing."""
+    try:
+        return dict(watched.get)
+    except Py4JJavaError:
+        return table.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
+
+
 def materialise(df: DataFrame, name: str, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
@@ -48,10 +57,9 @@ def materialise(df: DataFrame, name: str, **metrics) -> DataFrame | tuple[DataFr
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
     schema = df.schema
-    watched = None
-    if metrics:
-        watched = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+    watched = Observation(f"{name}-{uuid.uuid4().hex[:8]}") if metrics else None
+    if watched:
         df = df.observe(watched, *[c.alias(k) for k, c in metrics.items()])
     df.write.parquet(path)
     table = spark.read.schema(schema).parquet(path)
-    return (table, watched.get) if watched else table
+    return (table, observed(watched, table, metrics)) if watched else table

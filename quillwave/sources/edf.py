@@ -67,16 +67,17 @@ def encode(channels: dict[str, np.ndarray], rate: int, unit: str = "uV") -> byte
 
 def headers(files: DataFrame) -> DataFrame:
     """One row per file (path, content); a file that can't be read gives its error, and the others go on."""
+    empty = {c.split()[0]: None for c in HEADER.split(", ")}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    rows.append({"path": path, **parse_header(bytes(content)), "error": None})
+                    rows.append({**empty, "path": path, **parse_header(bytes(content))})
                 except (ValueError, UnicodeDecodeError, TypeError) as e:
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in HEADER.split(", ")])
+                    rows.append({**empty, "path": path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=list(empty))
 
     return files.select("path", "content").mapInPandas(run, HEADER)
 
