@@ -7,7 +7,8 @@ first, until none is left.
 
 No task holds an entity: order is cut into blocks of time, every block is
 agglomerated on its own, and only the first and last run of each block go into
-a second pass over the same code, which merges across the cuts.  What a task
+a second pass over the same code, which merges across the cuts.  There, runs of
+one block are no neighbours: what could merge within a block has merged.  What a task
 sorts and holds is bounded by the block, however large or hot the entity is.
 """
 
@@ -28,7 +29,7 @@ from quillwave.session import materialise
 BLOCK = 1 << 22
 
 _RUN = ["first", "last", "n", "x_first", "x_last"]
-_TYPES = "first long, last long, n long, x_first long, x_last long, edge boolean"
+_TYPES = "first long, last long, n long, x_first long, x_last long, edge boolean, origin long"
 
 
 def merge_neighbours(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +54,11 @@ def merge_neighbours(distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return heads, tails[heads]
 
 
-def _agglomerate(keys: list[str], most_apart: int, most_gap: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Over sorted rows (keys, block, run columns): the merged runs of each key and block."""
+def _agglomerate(keys: list[str], most_apart: int, most_gap: int, within: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Over sorted rows (keys, block, run columns, origin): the merged runs of each key and block.
+
+    ``within`` tells that runs of one origin may merge.
+    """
 
     def same_as_before(t: pa.Table) -> np.ndarray:
         same = np.ones(max(0, t.num_rows - 1), bool)
@@ -69,8 +73,9 @@ def _agglomerate(keys: list[str], most_apart: int, most_gap: int) -> Callable[[I
         first, last, n = (t[c].to_numpy() for c in ("first", "last", "n"))
         usable = t["x_first"].is_valid().to_numpy()
         xf, xl = (t[c].fill_null(0).to_numpy() for c in ("x_first", "x_last"))
-        apart = np.abs(xf[1:] - xl[:-1])
-        may = same & usable[1:] & usable[:-1] & (apart <= most_apart) & (first[1:] - last[:-1] <= most_gap)
+        apart, origin = np.abs(xf[1:] - xl[:-1]), t["origin"].fill_null(0).to_numpy()
+        apart_blocks = np.ones(len(same), bool) if within else origin[1:] != origin[:-1]
+        may = same & apart_blocks & usable[1:] & usable[:-1] & (apart <= most_apart) & (first[1:] - last[:-1] <= most_gap)
         heads, tails = merge_neighbours(np.where(may, apart, -1))
         cuts = np.flatnonzero(~same) + 1
         opens, closes = np.zeros(len(first), bool), np.zeros(len(first), bool)
@@ -79,8 +84,8 @@ def _agglomerate(keys: list[str], most_apart: int, most_gap: int) -> Callable[[I
         closes[cuts - 1] = True
         total = np.concatenate([[0], np.cumsum(n)])
         out = {c: t[c].take(heads) for c in [*keys, "first", "x_first"]}
-        out |= {"last": t["last"].take(tails), "x_last": t["x_last"].take(tails), "n": pa.array(total[tails + 1] - total[heads]), "edge": pa.array(opens[heads] | closes[tails])}
-        return pa.table({c: out[c] for c in [*keys, *_RUN, "edge"]})
+        out |= {"last": t["last"].take(tails), "x_last": t["x_last"].take(tails), "n": pa.array(total[tails + 1] - total[heads]), "edge": pa.array(opens[heads] | closes[tails]), "origin": t["block"].take(heads)}
+        return pa.table({c: out[c] for c in [*keys, *_RUN, "edge", "origin"]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: pa.Table | None = None  # rows of the key and block that may go on in the next batch
@@ -100,11 +105,11 @@ def _agglomerate(keys: list[str], most_apart: int, most_gap: int) -> Callable[[I
     return run
 
 
-def _pass(runs: DataFrame, keys: list[str], block: int, most_apart: int, most_gap: int) -> DataFrame:
+def _pass(runs: DataFrame, keys: list[str], block: int, most_apart: int, most_gap: int, within: bool) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema if f.name in keys)
-    cut = runs.select(*keys, F.floor(F.col("first") / F.lit(block)).cast("long").alias("block"), *_RUN)
+    cut = runs.select(*keys, F.floor(F.col("first") / F.lit(block)).cast("long").alias("block"), *_RUN, "origin")
     blocks = cut.repartition(*keys, "block").sortWithinPartitions(*keys, "block", "first", "last", "x_first")
-    return blocks.mapInArrow(_agglomerate(keys, most_apart, most_gap), f"{schema}, {_TYPES}")
+    return blocks.mapInArrow(_agglomerate(keys, most_apart, most_gap, within), f"{schema}, {_TYPES}")
 
 
 def collapse_runs(events: DataFrame, keys: list[str], order: str, value: str, most_apart: int, most_gap: int, block: int = BLOCK) -> DataFrame:
@@ -119,8 +124,8 @@ def collapse_runs(events: DataFrame, keys: list[str], order: str, value: str, mo
     """
     place, x = F.col(order).cast("long"), F.col(value).cast("long")
     rows = events.dropna(subset=[*keys, order]).select(
-        *keys, place.alias("first"), place.alias("last"), F.lit(1).cast("long").alias("n"), x.alias("x_first"), x.alias("x_last")
+        *keys, place.alias("first"), place.alias("last"), F.lit(1).cast("long").alias("n"), x.alias("x_first"), x.alias("x_last"), F.lit(None).cast("long").alias("origin")
     )
-    parts = materialise(_pass(rows, keys, block, most_apart, most_gap), "runs")
-    across = _pass(parts.where("edge"), keys, 1 << 62, most_apart, most_gap)
-    return parts.where("NOT edge").unionByName(across).drop("edge")
+    parts = materialise(_pass(rows, keys, block, most_apart, most_gap, True), "runs")
+    across = _pass(parts.where("edge"), keys, 1 << 62, most_apart, most_gap, False)
+    return parts.where("NOT edge").unionByName(across).drop("edge", "origin")
