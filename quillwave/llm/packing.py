@@ -122,7 +122,8 @@ def pack(lengths: DataFrame, key: str, tokens: str, specs: DataFrame, block_text
     texts = lengths.select(F.col(key), size.alias("size"))
     blocks = max(1, -(-texts.count() // block_texts))
     kind = lengths.schema[key].dataType.simpleString()
-    each = texts.crossJoin(F.broadcast(texts.sparkSession.createDataFrame(wanted, "spec_id int, capacity int")))
+    specs_of_each = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity")) for i, c in wanted]).cast("array<struct<spec_id:int,capacity:int>>")
+    each = texts.select("*", F.inline(specs_of_each))
     full = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.col("capacity")).cast("long")  # pieces that fill a container
     each = each.withColumn("full", full).withColumn("rest", F.col("size") - F.col("full") * F.col("capacity"))
     block = F.pmod(F.xxhash64(key), F.lit(blocks))

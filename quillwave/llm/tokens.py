@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens a task's cache holds before it starts anew.
 CACHE_PRETOKENS = 200_000
+#: Texts encoded at a time.
+PART_ROWS = 500
 
 #: The characters that Unicode calls white space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -166,12 +168,19 @@ def count_tokens(df: DataFrame, key: str, text: str, vocabulary: str = VOCABULAR
     return _encoded(df, key, text, vocabulary, name, True)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that long texts don't add up in memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
 def _encoded(df: DataFrame, key: str, text: str, vocabulary: str, name: str, lengths: bool) -> DataFrame:
     model = df.sparkSession.sparkContext.broadcast(build_model(load_ranks(vocabulary)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(model.value).encode
-        for batch in batches:
+        for batch in _parts(batches):
             coded = [encode(t) if t else b"" for t in batch.column(1).to_pylist()]
             sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
             if lengths:
@@ -192,7 +201,7 @@ def decode_ids(df: DataFrame, key: str, ids: str = "ids", vocabulary: str = VOCA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _encoder(model.value).model
         bytes_of = {ord(c): b for b, c in byte_characters().items()}
-        for batch in batches:
+        for batch in _parts(batches):
             texts = [None if x is None else bytes(bytes_of[ord(c)] for c in "".join(pieces.id_to_piece(x))).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, text])
 
