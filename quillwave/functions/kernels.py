@@ -45,6 +45,29 @@ def pair_entropies(x: np.ndarray, bins: int = 500) -> tuple[float, float, float]
     return float(approximate), fuzzy, distribution
 
 
+def entropy_profile(x: np.ndarray) -> list[float]:
+    """Sum, mean, largest, least, median, deviation, variance, kurtosis and skewness of the sample entropy profile.
+
+    Distances are rounded to three decimals; the profile runs over every
+    distinct radius of the embeddings of dimension 2 and 3.
+    """
+    n = len(x)
+
+    def distances(m: int) -> np.ndarray:
+        e = np.lib.stride_tricks.sliding_window_view(x, m)[: n - 2]
+        d = np.abs(e[:, None] - e[None]).max(2)
+        np.fill_diagonal(d, np.inf)
+        return np.floor(d * 1000 + 0.5) / 1000
+
+    d2, d3 = distances(2), distances(3)
+    radii = np.unique(np.concatenate([d2[np.isfinite(d2)], d3[np.isfinite(d3)]]))
+    share = lambda d: np.searchsorted(np.sort(d[np.isfinite(d)]), radii, "right") / len(d)
+    p = np.log((share(d2) + 1e-12) / (share(d3) + 1e-12))
+    c, v = p - p.mean(), p.var()
+    shape = [(c**4).mean() / v**2 - 3, (c**3).mean() / v**1.5] if v > 0 else [float("nan")] * 2
+    return [p.sum(), p.mean(), p.max(), p.min(), float(np.median(p)), np.sqrt(v), v, *shape]
+
+
 def permutation_entropy(x: np.ndarray, order: int = 3) -> float:
     ranks = np.argsort(np.lib.stride_tricks.sliding_window_view(x, order), axis=1, kind="stable")
     return _entropy(np.unique(ranks @ (order ** np.arange(order)), return_counts=True)[1] / len(ranks))
@@ -153,6 +176,11 @@ def entropies(x: Column) -> Column:
     return _per_window(lambda w: [*pair_entropies(w), permutation_entropy(w), svd_entropy(w)], 8)(x)
 
 
+def profiles(x: Column) -> Column:
+    """The nine statistics of ``entropy_profile``; quadratic in the window, so only on demand."""
+    return _per_window(lambda w: [float(v) for v in entropy_profile(w)], 8)(x)
+
+
 def complexities(x: Column) -> Column:
     """[phrases, Higuchi, detrended fluctuation]"""
     return _per_window(lambda w: [phrases(w), higuchi(w), detrended_fluctuation(w)], 16)(x)

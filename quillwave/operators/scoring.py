@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quillwave.operators.events import merge_spans, split_long
 from quillwave.operators.windows import overlap_join, overlap_ms
 from quillwave.semantics import holds, ratio
+from quillwave.session import materialise
 
 
 @dataclass(frozen=True)
@@ -59,13 +60,15 @@ def score(refs: DataFrame, hyps: DataFrame, files: DataFrame, rule: Rule, keys:
     pack = lambda df: df.withColumn(key, F.to_json(F.struct(*keys)))
     lengths = files.select(*keys, "duration_sec").distinct()
     hyps = hyps.where(F.col("end_ms") - F.col("start_ms") > rule.drop_upto_ms)
-    ref = pack(_tidy(raster(refs, lengths, keys), keys, rule)).select(key, *keys, "start_ms", "end_ms")
-    hyp = pack(_tidy(raster(hyps, lengths, keys), keys, rule)).select(key, *keys, "start_ms", "end_ms")
+    # events are few beside the records they come from; each side is used several times and written once
+    ref = materialise(pack(_tidy(raster(refs, lengths, keys), keys, rule)).select(key, *keys, "start_ms", "end_ms"), "references")
+    hyp = materialise(pack(_tidy(raster(hyps, lengths, keys), keys, rule)).select(key, *keys, "start_ms", "end_ms"), "candidates")
     wide = ref.withColumn("start_ms", F.greatest(F.lit(0).cast("long"), F.col("start_ms") - rule.before_ms)).withColumn("end_ms", F.col("end_ms") + rule.after_ms)
     pairs = overlap_join(wide, hyp.select(key, "start_ms", "end_ms"), key)
     covered = pairs.where(overlap_ms() > 0).groupBy(key, *keys, "start_ms", "end_ms").agg(F.sum(overlap_ms()).alias("_ms"))
     share = ratio(F.col("_ms"), F.col("end_ms") - F.col("start_ms"))
-    found = covered.where(holds(share > rule.least_overlap if rule.strict else share >= rule.least_overlap)).select(key, *keys, "start_ms", "end_ms")
+    enough = holds(share > rule.least_overlap if rule.strict else share >= rule.least_overlap)
+    found = materialise(covered.where(enough).select(key, *keys, "start_ms", "end_ms"), "found")
     touched = overlap_join(hyp, found.select(key, "start_ms", "end_ms"), key).where(overlap_ms() > 0).select(key, "start_ms", "end_ms").distinct()
     alarms = hyp.join(touched, [key, "start_ms", "end_ms"], "left_anti")
     count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))

@@ -10,6 +10,7 @@ from quillwave.operators.metrics import macro_micro
 from quillwave.plans import inputs
 from quillwave.plans.inputs import FILES, INTERVALS, RECORDS, SPANS, merged, split
 from quillwave.semantics import ratio
+from quillwave.session import materialise
 
 RUN_FILE = ["run_id", "filename"]
 #: Ten-thousandths and milliseconds used by the queries below.
@@ -105,8 +106,8 @@ def fraction_flagged(spark: SparkSession, d: str) -> DataFrame:
 
 def _scorable(spark: SparkSession, d: str, split_name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(grid records, references per run and file, listed files) of a split."""
-    rows = inputs.records(spark, d).where((F.col("split") == split_name) & F.col("grid") & F.col("units").isNotNull())
-    listed = rows.select(*RUN_FILE).distinct().join(inputs.files(spark, d).select("filename", "duration_sec"), "filename")
+    rows = materialise(inputs.records(spark, d).where((F.col("split") == split_name) & F.col("grid") & F.col("units").isNotNull()), "records")
+    listed = materialise(rows.select(*RUN_FILE).distinct().join(inputs.files(spark, d).select("filename", "duration_sec"), "filename"), "listed")
     return rows, listed.join(inputs.intervals(spark, d), "filename").select(*RUN_FILE, "start_ms", "end_ms"), listed
 
 
@@ -144,7 +145,7 @@ def always_positive_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.records(spark, d).where("split = 'tuning' AND grid")
+    rows = materialise(inputs.records(spark, d).where("split = 'tuning' AND grid"), "records")
     return sweep.sweep_curve(rows, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", THRESHOLDS, GAP, scoring.ANY_HIT)
 
 
@@ -172,7 +173,7 @@ def criteria_met(spark: SparkSession, d: str) -> DataFrame:
 
 def percentile_transfer(spark: SparkSession, d: str) -> DataFrame:
     rows = inputs.records(spark, d).where("units IS NOT NULL AND grid")
-    points = _pick(spark, d, True).select("run_id", "threshold")
+    points = materialise(_pick(spark, d, True).select("run_id", "threshold"), "picked")
     moved = sweep.percentile_transfer(rows.where("split = 'tuning'"), rows.where("split = 'test'"), points, "run_id")
     return moved.select("run_id", F.round("fraction", 9).alias("fraction"), "n", "k", "threshold")
 

@@ -55,6 +55,13 @@ def feat_entropy_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(e, "vec_id", {n: F.get("e", i) for i, n in enumerate(["approximate", "fuzzy", "distribution", "permutation", "singular_value"])})
 
 
+def feat_entropy_profile(spark: SparkSession, d: str) -> DataFrame:
+    """Statistics of the sample entropy profile, the optional features."""
+    e = _x(spark, d).select("vec_id", kernels.profiles(F.col("x")).alias("e"))
+    names = ["total", "average", "maximum", "minimum", "median", "standardDeviation", "variance", "kurtosis", "skewness"]
+    return _rounded(e, "vec_id", {n: F.get("e", i) for i, n in enumerate(names)})
+
+
 def feat_complexity(spark: SparkSession, d: str) -> DataFrame:
     scaled = F.transform("x", lambda v: F.round(v * 100))
     e = _x(spark, d).select("vec_id", kernels.complexities(scaled).alias("e"))
@@ -138,7 +145,7 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     return learn.held_out_auc(_features(spark, d).where("subject IS NOT NULL"), FEATURES, "label", "subject")
 
 
-QUERIES = {q.__name__: q for q in (feat_moments, feat_linear, feat_entropy_exact, feat_hjorth, feat_fractal, feat_entropy_pairs, feat_complexity, feat_spectrum, feat_crossings, filtered_series, edf_roundtrip, rf_channel_rank, model_scores)}
+QUERIES = {q.__name__: q for q in (feat_moments, feat_linear, feat_entropy_exact, feat_hjorth, feat_fractal, feat_entropy_pairs, feat_entropy_profile, feat_complexity, feat_spectrum, feat_crossings, filtered_series, edf_roundtrip, rf_channel_rank, model_scores)}
 
 _X = "x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
 _D = "d AS (SELECT vec_id, x, list_transform(range(2, len(x) + 1), lambda i: x[i] - x[i - 1]) AS d FROM x), e AS (SELECT *, list_transform(range(2, len(d) + 1), lambda i: d[i] - d[i - 1]) AS e FROM d)"

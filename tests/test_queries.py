@@ -26,7 +26,7 @@ def test_equals_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - {"rf_channel_rank", "model_scores"}))
 def test_has_rows(spark, name):
     df = QUERIES[name](spark, str(DATA))
-    assert df.count() > 0
+    assert df.count() > 0, name
     assert len(set(df.columns)) == len(df.columns)
 
 
