@@ -4,8 +4,8 @@ A text of a commit history has slots: an address slug (its host, the source),
 a title and a body (the message), an author, and the changes.  What stands in a
 slot is compared with detectors:
 
-* placeholder detector: unfilled placeholders, and beside them nothing but the
-  words of the template;
+* placeholder detector: unfilled placeholders that make up a slot together with
+  their labels and the words of the template;
 * filler detector: one short phrase repeated, or nothing but filler words;
 * page detector: nothing but sentences of error pages and of notices that
   scripts are required, in any of several languages.
@@ -32,6 +32,8 @@ from quillwave.session import materialise
 HOSTS, AUTHORS = 3, 5
 #: The share of its words by which a response is suspect.
 SUSPECT_SHARE = 0.5
+#: The share of a slot's words from which placeholders and labels make it an unfilled template.
+TEMPLATE_SHARE = 0.75
 #: A response longer than this many words carries information.
 LOW_INFORMATION_WORDS = 30
 
@@ -94,6 +96,7 @@ _SENTENCE = re.compile(rf"(?:{'|'.join(_SENTENCES)})(?=$|[\s.!?…;:,)\"'—。
 _NOISE = re.compile(rf"(?:\+.*|backport-of: \w+|\(cherry picked from commit \w+\)|signed-off-by: .*|{_CHROME})\s*", re.I)
 _LATIN = re.compile(r"[a-z]{2,}(?:us|um|em|is|at|o)")
 _TAG = re.compile(r"<[^>]*>")
+_LABEL = re.compile(r"(?:^|(?<=[\s(\[]))[^\W\d_][\w-]*:(?=\s|$)")
 _WORD = re.compile(r"[^\W\d_]+")
 _TRAILER = re.compile(r"^\s*(?:tested|reviewed|reviewed-by|tested-by|why|what changed)\s*:\s*(.+?)\s*$", re.I | re.M)
 _PERSON = re.compile(rf"^\W*(?:{'|'.join(_PLACEHOLDERS)})", re.I)
@@ -106,10 +109,20 @@ def _content(slot: str) -> str:
 
 
 def is_template(content: str) -> bool:
-    """Placeholders and nothing else but words of their template."""
-    if not _PLACEHOLDER.search(content):
+    """Placeholders, labels before them, and hardly a word that isn't of their template.
+
+    Words that templates put around placeholders count for neither side.
+    """
+    found = list(_PLACEHOLDER.finditer(content))
+    if not found:
         return False
-    return all(w in _SKELETON for w in re.findall(r"[^\W\d_]+", _PLACEHOLDER.sub(" ", content).lower()))
+    # \0 stands for a placeholder, so that a label before the last one is told from one after it
+    masked = _PLACEHOLDER.sub(" \0 ", content)
+    before, after = masked[: masked.rindex("\0")], masked[masked.rindex("\0") :]
+    rest, labels = _LABEL.subn(" ", before)
+    other = sum(w not in _SKELETON for w in _WORD.findall((rest + after).lower()))
+    filled = len(found) + labels
+    return filled >= TEMPLATE_SHARE * (filled + other)
 
 
 def is_filler(content: str) -> bool:

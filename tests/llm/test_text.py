@@ -121,6 +121,20 @@ def test_residue(spark):
     assert residue.residue(df.where("false"), "doc_id", "text", "source", "author_name").count() == 0
 
 
+def test_template_with_any_label():
+    bad = [
+        "Ticket: $Format:%merge$(%%PROB%%): #{queue}", "Ticket: Merge <your branch> into [[author-score]]", "Ticket: Release ${LIMIT_INDEX} of [insert summary here]",
+        "Ticket: [#{branch}] <!-- enter rate --> by ${ITEM_MASK}", "Ticket: {node}", "Ticket: Merge $Format:%rate$ into {limit}", "Ticket: <!-- enter frame -->(%%SIGNAL%%): {fold}",
+        "Ticket: Release <%= level %> of @@FRAME@@", "Ticket: Update <window goes here>", "Owner: {name} Customer: {org}",
+    ]
+    good = [
+        "Replace `{{ merge }}` by `{{ cutoff }}` in the header template", "Expand ${path} in paths before opening", "Fix TODO: describe item limits properly", "Use %(rate)s style in fold planner logs",
+        "Fail if a {placeholder} is left in the node mail", "docs: Expand ${path}", "Quote ${VERSION}", "Ticket: none", "Update {x} and note: this changes output",
+    ]
+    assert [x for x in bad if not residue._judge(commit(x), "h/r", True)[0]] == []
+    assert [x for x in good if residue._judge(commit(x), "h/r", True)[0]] == []
+
+
 def test_host_evidence_decides_suspect_responses(spark):
     odd = "The commit could not be loaded. Quark"  # only partly a known page
     spread = [(i, odd, f"h{i % 4}/r", f"a{i}", 1) for i in range(8)]
