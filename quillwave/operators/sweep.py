@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,10 @@ from pyspark.sql import functions as F
 from quillwave.operators.events import WINDOW_MS, kth_largest, merge_spans, split_long
 from quillwave.operators.scoring import Rule, rates, score
 from quillwave.semantics import holds
+from quillwave.session import materialise
+
+#: The level of the state in which no window is flagged.
+NOTHING = 10_001
 
 
 def threshold_units() -> list[int]:
@@ -47,7 +52,61 @@ def sweep_curve(records: DataFrame, refs: DataFrame, files: DataFrame, run: str,
     return rates(totals.join(hours, run))
 
 
-def pick_threshold(curve: DataFrame, run: str, most_fa: float, fallback: bool) -> DataFrame:
+def state_spans(records: DataFrame, keys: list[str], thresholds: Sequence[int], gaps: Sequence[int]) -> tuple[DataFrame, DataFrame]:
+    """(keys, level) of every key's states, and (keys, merge_gap, level, start_ms, end_ms) of its merged spans in them.
+
+    A window's level is the highest threshold it reaches, and what is flagged
+    changes only at the levels present: one state per level stands for all
+    thresholds above the next lower one.  The state NOTHING has no spans.  A
+    window opens a span in the states above the levels of the windows within
+    the gap before it and closes one above those after it, so only the ends of
+    spans are laid out.  Starts are distinct per key.
+    """
+    grid = F.array(*[F.lit(t) for t in sorted(thresholds)])
+    level = records.sparkSession.range(0, 10_001).select(F.col("id").cast("int").alias("units"), F.array_max(F.filter(grid, lambda t: t <= F.col("id"))).alias("level"))
+    rows = records.where("units IS NOT NULL").join(level, "units", "left").select(*keys, "start_ms", "level")
+    states = materialise(rows.select(*keys, F.coalesce("level", F.lit(NOTHING)).alias("level")).unionByName(rows.select(*keys, F.lit(NOTHING).alias("level"))).distinct(), "states")
+    key = Window.partitionBy(*keys)
+    order = key.orderBy("start_ms")
+    beside = lambda a, b: F.coalesce(F.max("level").over(order.rangeBetween(a, b)), F.lit(0))
+    ends = [F.struct(F.lit(g).alias("merge_gap"), beside(-g - WINDOW_MS, -1).alias("before"), beside(1, g + WINDOW_MS).alias("after")) for g in gaps]
+    each = rows.where("level IS NOT NULL").select(*keys, "start_ms", "level", F.collect_set("level").over(key).alias("levels"), F.array(*ends).alias("e"))
+    each = each.select(*keys, "start_ms", F.col("level").alias("top"), "levels", F.explode("e").alias("e")).select("*", "e.*")
+    least = F.least("before", "after")
+    each = each.withColumn("level", F.explode(F.filter("levels", lambda x: (x > least) & (x <= F.col("top")))))
+    following = F.lead("start_ms").over(Window.partitionBy(*keys, "merge_gap", "level").orderBy("start_ms"))
+    last = F.when(F.col("level") > F.col("after"), F.col("start_ms")).otherwise(following)
+    spans = each.withColumn("end_ms", last + WINDOW_MS).where("level > before")
+    return states, spans.select(*keys, "merge_gap", "level", "start_ms", "end_ms")
+
+
+def state_curves(records: DataFrame, refs: DataFrame, files: DataFrame, run: str, file: str, thresholds: Sequence[int], gaps: Sequence[int], rules: Sequence[Rule]) -> DataFrame:
+    """(run, merge_gap, rule, threshold, ...): ``sweep_curve`` for every merge gap and rule, scored once per state instead of per threshold."""
+    rows = records.where("units IS NOT NULL").select(run, file, "start_ms", "units")
+    states, spans = state_spans(rows, [run, file], thresholds, gaps)
+    settings = F.explode(F.array(*[F.lit(g) for g in gaps])).alias("merge_gap")
+    every = states.select(run, file, settings, "level").join(files.select(file, "duration_sec"), file)
+    keys = [run, file, "merge_gap", "level"]
+    all_refs = every.select(*keys).join(refs.select(file, "start_ms", "end_ms"), file)
+    hyps = materialise(split_long(spans), "spans")
+    parts = [score(all_refs, hyps, every, rule, keys).withColumn("rule", F.lit(rule.name)) for rule in rules]
+    totals = reduce(DataFrame.unionByName, parts)
+    # what a state has more than the next higher one counts for every threshold up to its level
+    higher = Window.partitionBy(run, file, "merge_gap", "rule").orderBy("level")
+    more = lambda c: F.col(c) - F.coalesce(F.lead(c).over(higher), F.lit(0))
+    steps = totals.select(run, "merge_gap", "rule", "level", more("tp").alias("tp"), more("fp").alias("fp"), F.when(F.col("level") == NOTHING, F.col("ref_true")).otherwise(0).alias("ref_true"))
+    steps = materialise(steps.groupBy(run, "merge_gap", "rule", "level").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "ref_true")]), "steps")
+    group = [run, "merge_gap", "rule"]
+    grid = F.explode(F.array(*[F.lit(t) for t in sorted(thresholds)])).alias("level")
+    points = steps.where(F.col("level") == NOTHING).select(*group, grid).join(steps.where(F.col("level") != NOTHING).drop("ref_true"), [*group, "level"], "left")
+    upwards = Window.partitionBy(*group).orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    summed = points.select(*group, F.col("level").alias("threshold"), *[F.coalesce(F.sum(c).over(upwards), F.lit(0)).alias(c) for c in ("tp", "fp")])
+    summed = summed.join(steps.where(F.col("level") == NOTHING).select(*group, "ref_true"), group)
+    hours = rows.groupBy(run).agg((F.count(F.lit(1)) * F.lit(WINDOW_MS / 3_600_000)).alias("hours"))
+    return rates(summed.join(hours, run))
+
+
+def pick_threshold(curve: DataFrame, run: str | list[str], most_fa: float, fallback: bool) -> DataFrame:
     """The curve's row with most sensitivity among those within ``most_fa``, ties to the lowest threshold.
 
     Where none is within: no row, or with ``fallback`` the row with least false

@@ -16,6 +16,7 @@ RUN_FILE = ["run_id", "filename"]
 #: Ten-thousandths and milliseconds used by the queries below.
 AT, GAP, LEAST, LONGEST = 3000, 8000, 8000, 20_000
 THRESHOLDS = sweep.coarse_units()
+RULES = (scoring.ANY_HIT, scoring.COVER_70)
 
 
 def grid_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -178,6 +179,43 @@ def percentile_transfer(spark: SparkSession, d: str) -> DataFrame:
     return moved.select("run_id", F.round("fraction", 9).alias("fraction"), "n", "k", "threshold")
 
 
+def _curve_full(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialise(inputs.records(spark, d).where("split = 'tuning' AND grid"), "records")
+    curve = sweep.state_curves(rows, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", sweep.threshold_units(), [GAP], RULES)
+    return _rounded(curve.drop("merge_gap"), "hours", "sens", "fa_per_day")
+
+
+def sweep_curve_full(spark: SparkSession, d: str) -> DataFrame:
+    """The curve at all 279 thresholds, under both rules."""
+    return _curve_full(spark, d)
+
+
+def _pick_full(spark: SparkSession, d: str, fallback: bool) -> DataFrame:
+    picked = sweep.pick_threshold(_curve_full(spark, d), ["run_id", "rule"], 5.0, fallback)
+    return picked.select("run_id", "rule", "threshold", "tp", "fp", "ref_true", "sens", "fa_per_day", "ceiling_met")
+
+
+def pick_threshold_full(spark: SparkSession, d: str) -> DataFrame:
+    return _pick_full(spark, d, False)
+
+
+def pick_threshold_fallback_full(spark: SparkSession, d: str) -> DataFrame:
+    return _pick_full(spark, d, True)
+
+
+def criteria_met_full(spark: SparkSession, d: str) -> DataFrame:
+    points = sweep.criteria_met(_curve_full(spark, d), 0.6, 50.0)
+    return points.groupBy("run_id", "rule").agg(F.count_if("met").alias("n_met"), F.count(F.lit(1)).alias("n_thresholds"))
+
+
+def percentile_transfer_full(spark: SparkSession, d: str) -> DataFrame:
+    """Per run and rule: the test threshold that flags the share that the picked one flags on tuning."""
+    rows = inputs.records(spark, d).where("units IS NOT NULL AND grid")
+    points = materialise(_pick_full(spark, d, True).select("run_id", "rule", "threshold"), "picked")
+    both = [sweep.percentile_transfer(rows.where("split = 'tuning'"), rows.where("split = 'test'"), points.where(F.col("rule") == r.name), "run_id").withColumn("rule", F.lit(r.name)) for r in RULES]
+    return both[0].unionByName(both[1]).select("run_id", "rule", F.round("fraction", 9).alias("fraction"), "n", "k", "threshold")
+
+
 def subject_rates(spark: SparkSession, d: str) -> DataFrame:
     """Events and rates of each subject of a run's test split."""
     rows, refs, listed = _scorable(spark, d, "test")
@@ -201,6 +239,7 @@ QUERIES = {
         grid_windows, dense_windows, schedule_union, window_label, near_zone_flag, interval_window_count, zone_false_alarms, threshold_positive, merge_gap_events, session_window_events,
         drop_short, split_long, events_incl_empty, contiguous_runs, run_length_comparison, kth_largest_threshold, fraction_flagged, score_rule_a, score_rule_b, fold_totals,
         always_positive_baseline, sweep_curve, pick_threshold, pick_threshold_fallback, criteria_met, percentile_transfer, per_subject, macro_micro_rates,
+        sweep_curve_full, pick_threshold_full, pick_threshold_fallback_full, criteria_met_full, percentile_transfer_full,
     )
 }
 

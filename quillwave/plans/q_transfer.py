@@ -21,13 +21,11 @@ from quillwave.tables import table
 GAPS, LEASTS = (0, 10_000, 28_000), (0, 6000)
 
 
-def absolute_transfer(spark: SparkSession, d: str) -> DataFrame:
-    """Each run's tuning threshold used as it is on its test split; runs without one don't meet the criterion."""
+def _absolute(spark: SparkSession, d: str, picked: DataFrame, rule: scoring.Rule) -> DataFrame:
     rows, refs, listed = q_events._scorable(spark, d, "test")
-    picked = materialise(q_events.pick_threshold(spark, d).select("run_id", "threshold"), "picked")
     spans = events.positives(rows.join(picked, "run_id"), "threshold", RUN_FILE)
     hyps = events.split_long(events.merge_spans(spans, RUN_FILE, GAP).drop("n"))
-    totals = scoring.score(refs, hyps, listed, scoring.ANY_HIT, RUN_FILE).groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "ref_true")])
+    totals = scoring.score(refs, hyps, listed, rule, RUN_FILE).groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "ref_true")])
     hours = rows.groupBy("run_id").agg((F.count(F.lit(1)) * F.lit(4 / 3600)).alias("hours"))
     has = picked.withColumn("_t", F.col("threshold"))
     rated = scoring.rates(totals.join(hours, "run_id").join(has, "run_id", "left"))
@@ -36,6 +34,18 @@ def absolute_transfer(spark: SparkSession, d: str) -> DataFrame:
     return out.select("run_id", "threshold", *[F.when(found, F.col(c)).alias(c) for c in ("tp", "fp")], "ref_true", *[F.round(F.when(found, F.col(c)), 6).alias(c) for c in ("sens", "fa_per_day")], (F.col("met") & found).alias("met"))
 
 
+def absolute_transfer(spark: SparkSession, d: str) -> DataFrame:
+    """Each run's tuning threshold used as it is on its test split; runs without one don't meet the criterion."""
+    return _absolute(spark, d, materialise(q_events.pick_threshold(spark, d).select("run_id", "threshold"), "picked"), scoring.ANY_HIT)
+
+
+def absolute_transfer_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same for thresholds picked from all 279, under both rules."""
+    picked = materialise(q_events.pick_threshold_full(spark, d).select("run_id", "rule", "threshold"), "picked")
+    both = [_absolute(spark, d, picked.where(F.col("rule") == r.name).drop("rule"), r).withColumn("rule", F.lit(r.name)) for r in q_events.RULES]
+    return both[0].unionByName(both[1])
+
+
 def postprocessing_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """Scores of every run's test split by merge gap and least duration."""
     rows, refs, listed = q_events._scorable(spark, d, "test")
@@ -105,7 +115,7 @@ def pending_runs(spark: SparkSession, d: str) -> DataFrame:
     return sinks.pending(wanted.join(files, "subject").select("run_id", "filename"), inputs.records(spark, d), ["run_id", "filename"])
 
 
-QUERIES = {q.__name__: q for q in (absolute_transfer, postprocessing_sensitivity, threshold_for_sensitivity, detection_by_length, tier_base_shift, csv_roundtrip, partitioned_roundtrip, pending_runs)}
+QUERIES = {q.__name__: q for q in (absolute_transfer, absolute_transfer_full, postprocessing_sensitivity, threshold_for_sensitivity, detection_by_length, tier_base_shift, csv_roundtrip, partitioned_roundtrip, pending_runs)}
 
 _BASE = f"""WITH {RECORDS},{FILES},{INTERVALS},
 rows_ AS (SELECT * FROM records WHERE split = 'test' AND grid AND units IS NOT NULL),
