@@ -19,6 +19,9 @@ from quillwave.sources import sinks
 from quillwave.tables import table
 
 GAPS, LEASTS = (0, 10_000, 28_000), (0, 6000)
+#: The settings of the whole sensitivity analysis, and least sensitivity and most false alarms a day by criterion.
+GAPS_FULL, LEASTS_FULL = (0, 4000, 8000, 12_000, 16_000, 20_000, 28_000), (0, 1000, 2000)
+CRITERIA = {"medication_titration": (0.6, 5.0), "realtime_alert": (0.8, 2.0)}
 
 
 def _absolute(spark: SparkSession, d: str, picked: DataFrame, rule: scoring.Rule) -> DataFrame:
@@ -60,6 +63,44 @@ def postprocessing_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     return totals.groupBy("run_id", "merge_gap", "min_duration").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "ref_true")])
 
 
+def postprocessing_sensitivity_full(spark: SparkSession, d: str) -> DataFrame:
+    """Subjects that meet each criterion, by run, merge gap, least duration and rule.
+
+    For every setting the tuning curve is swept, a threshold picked (with
+    fallback), moved to the test split by the share it flags, and scored there.
+    """
+    # no span is shorter than one window, so least durations up to that leave the same spans and are laid out last
+    assert max(LEASTS_FULL) <= events.WINDOW_MS
+    grid = inputs.records(spark, d).where("units IS NOT NULL AND grid")
+    tuning = materialise(grid.where("split = 'tuning'"), "records")
+    rows, refs, listed = q_events._scorable(spark, d, "test")
+    curve = sweep.state_curves(tuning, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", sweep.threshold_units(), GAPS_FULL, q_events.RULES)
+    curve = materialise(q_events._rounded(curve, "hours", "sens", "fa_per_day"), "curve")
+    setting = ["run_id", "merge_gap", "rule"]
+    picks = [sweep.pick_threshold(curve, setting, most, True).select(*setting, F.lit(name).alias("criterion"), F.lit(least).alias("least"), F.lit(most).alias("most"), F.col("threshold").alias("picked")) for name, (least, most) in CRITERIA.items()]
+    picked = materialise(reduce(DataFrame.unionByName, picks), "picked")
+    share = tuning.join(picked.select("run_id", "picked").distinct(), "run_id").groupBy("run_id", "picked").agg(F.avg((F.col("units") >= F.col("picked")).cast("int")).alias("fraction"))
+    moved = events.kth_largest(rows.join(share, "run_id"), ["run_id", "picked"], "units", "fraction").select("run_id", "picked", "threshold")
+    moved = materialise(picked.join(moved, ["run_id", "picked"]), "moved")
+    subject = F.regexp_extract("filename", r"^([a-z]+\d+)_", 1).alias("subject")
+    hours = rows.groupBy("run_id", subject).agg((F.count(F.lit(1)) * F.lit(4 / 3600)).alias("hours"))
+    keys = [*RUN_FILE, "merge_gap", "threshold"]
+    parts = []
+    for rule in q_events.RULES:
+        points = moved.where(F.col("rule") == rule.name).select("run_id", "merge_gap", "threshold").distinct()
+        spans = events.positives(rows.join(points, "run_id"), "threshold", keys)
+        hyps = events.split_long(events.merge_spans(spans, keys, "merge_gap").drop("n"))
+        totals = scoring.score(refs.join(points, "run_id"), hyps, listed.join(points, "run_id"), rule, keys)
+        sums = totals.groupBy("run_id", subject, "merge_gap", "threshold").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "ref_true")])
+        parts.append(sums.withColumn("rule", F.lit(rule.name)))
+    every = moved.join(hours, "run_id")
+    rated = scoring.rates(every.join(reduce(DataFrame.unionByName, parts), [*setting, "threshold", "subject"], "left"))
+    met = sweep.criteria_met(rated, F.col("least"), F.col("most"))
+    out = met.groupBy(*setting, "criterion").agg(F.count(F.lit(1)).alias("n_subjects"), F.count_if("met").alias("n_met"))
+    out = out.withColumn("pct_met", F.round(100 * ratio(F.col("n_met"), F.col("n_subjects")), 6))
+    return out.withColumn("min_duration", F.explode(F.array(*[F.lit(m) for m in LEASTS_FULL])))
+
+
 def threshold_for_sensitivity(spark: SparkSession, d: str) -> DataFrame:
     """The highest threshold whose window sensitivity reaches four fifths: it has fewest false positives."""
     s = _by_score(inputs.records(spark, d), ["run_id"], "units", "label")
@@ -115,7 +156,7 @@ def pending_runs(spark: SparkSession, d: str) -> DataFrame:
     return sinks.pending(wanted.join(files, "subject").select("run_id", "filename"), inputs.records(spark, d), ["run_id", "filename"])
 
 
-QUERIES = {q.__name__: q for q in (absolute_transfer, absolute_transfer_full, postprocessing_sensitivity, threshold_for_sensitivity, detection_by_length, tier_base_shift, csv_roundtrip, partitioned_roundtrip, pending_runs)}
+QUERIES = {q.__name__: q for q in (absolute_transfer, absolute_transfer_full, postprocessing_sensitivity, postprocessing_sensitivity_full, threshold_for_sensitivity, detection_by_length, tier_base_shift, csv_roundtrip, partitioned_roundtrip, pending_runs)}
 
 _BASE = f"""WITH {RECORDS},{FILES},{INTERVALS},
 rows_ AS (SELECT * FROM records WHERE split = 'test' AND grid AND units IS NOT NULL),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from quillwave.operators import sweep
+from quillwave.operators import events, scoring, sweep
 from quillwave.plans import inputs, q_events, q_transfer
 from tests.conftest import DATA, rows
 
@@ -47,3 +47,30 @@ def test_picks_and_transfers_use_every_threshold_and_both_rules(spark):
         assert abs(r.fraction - sum(u >= picked[r.run_id, r.rule] for u in own) / len(own)) < 1e-8
     used = {(r.run_id, r.rule): r.threshold for r in q_transfer.absolute_transfer_full(spark, d).collect()}
     assert all(t is None or t == picked[k] for k, t in used.items()) and any(t for t in used.values())
+
+
+def test_sensitivity_sweeps_picks_and_transfers_every_setting(spark):
+    d, gap = str(DATA), 12_000
+    found = {(r.run_id, r.merge_gap, r.min_duration, r.rule, r.criterion): (r.n_subjects, r.n_met) for r in q_transfer.postprocessing_sensitivity_full(spark, d).collect()}
+    runs = {k[0] for k in found}
+    assert runs and len(found) == len(runs) * 7 * 3 * 2 * 2
+    # one setting by the single steps, with the least duration applied
+    records = inputs.records(spark, d).where("units IS NOT NULL AND grid")
+    tuning = records.where("split = 'tuning'")
+    rows_, refs, listed = q_events._scorable(spark, d, "test")
+    curve = q_events._rounded(sweep.sweep_curve(tuning, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", sweep.threshold_units(), gap, scoring.ANY_HIT), "sens", "fa_per_day")
+    points = sweep.pick_threshold(curve, "run_id", 5.0, True).select("run_id", "threshold")
+    moved = sweep.percentile_transfer(tuning, rows_, points, "run_id").select("run_id", "threshold").collect()
+    for run, threshold in moved:
+        own = rows_.where(F.col("run_id") == run)
+        hyps = events.candidate_events(own, threshold, q_events.RUN_FILE, gap, 2000)
+        mine = lambda df: df.where(F.col("run_id") == run)  # noqa: E731, B023
+        totals = scoring.score(mine(refs), hyps, mine(listed), scoring.ANY_HIT, q_events.RUN_FILE).collect()
+        count, hours = {}, {}
+        for r in own.select("filename").collect():
+            hours[r.filename.split("_")[0]] = hours.get(r.filename.split("_")[0], 0) + 4 / 3600
+        for r in totals:
+            tp, fp, n = count.get(r.filename.split("_")[0], (0, 0, 0))
+            count[r.filename.split("_")[0]] = tp + r.tp, fp + r.fp, n + r.ref_true
+        met = sum(n > 0 and tp / n >= 0.6 and fp * 24 / hours[s] <= 5 for s, (tp, fp, n) in count.items())
+        assert {found[run, gap, m, "anyhit", "medication_titration"] for m in (0, 1000, 2000)} == {(len(hours), met)}
