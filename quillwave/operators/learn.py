@@ -16,19 +16,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwave.operators.metrics import auc_roc
-from quillwave.operators.sampling import minmax
+from quillwave.operators.sampling import lot, minmax
+from quillwave.session import materialise
 
 
 def complete(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
-    """Rows with every feature and a label, with their balanced class weight."""
-    good = rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*features, label]]))
-    counts = good.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    """Rows with every feature and a label."""
+    return rows.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*features, label]])).withColumn("y", F.col(label).cast("double"))
+
+
+def balanced(fit: DataFrame, key: Sequence[str], per_positive: int = 10) -> DataFrame:
+    """All positives of ``fit`` and at most ``per_positive`` negatives for each, by lot, with their balanced class weight."""
+    positives = fit.where("y = 1")
+    negatives = fit.where("y = 0").orderBy(lot(*key), *key).limit(per_positive * positives.count())
+    good = positives.unionByName(negatives)
+    counts = good.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
-    weights = counts.crossJoin(F.broadcast(total)).select(label, (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))  # one row per class
-    return good.join(weights, label).withColumn("y", F.col(label).cast("double"))
+    weights = counts.crossJoin(F.broadcast(total)).select("y", (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))  # one row per class
+    return good.join(weights, "y")
 
 
-def forest(trees: int = 30, depth: int = 8, seed: int = 42) -> RandomForestClassifier:
+def forest(trees: int = 300, depth: int = 8, seed: int = 42) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="y", featuresCol="v", weightCol="weight")
 
 
@@ -37,12 +45,13 @@ def logistic(rows: int, strength: float = 1.0) -> LogisticRegression:
 
 
 def perceptron(inputs: int, seed: int = 42) -> MultilayerPerceptronClassifier:
-    return MultilayerPerceptronClassifier(layers=[inputs, 16, 8, 2], maxIter=40, seed=seed, labelCol="y", featuresCol="v")
+    return MultilayerPerceptronClassifier(layers=[inputs, 64, 32, 2], maxIter=200, seed=seed, labelCol="y", featuresCol="v")
 
 
-def channel_ranks(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+def channel_ranks(rows: DataFrame, features: Sequence[str], label: str, key: Sequence[str] = ("filename", "start_ms")) -> DataFrame:
     """(channel, importance, rank): a forest's importances summed over each channel's features."""
-    fit = VectorAssembler(inputCols=list(features), outputCol="v").transform(complete(rows, features, label))
+    good = materialise(complete(rows, features, label).select("y", *key, *features), "learning")
+    fit = VectorAssembler(inputCols=list(features), outputCol="v").transform(materialise(balanced(good, key), "fit"))
     model = forest().fit(fit)
     spark = rows.sparkSession
     found = spark.createDataFrame([(c.split("__")[0], float(i)) for c, i in zip(features, model.featureImportances.toArray(), strict=True)], "channel string, importance double")
@@ -50,16 +59,22 @@ def channel_ranks(rows: DataFrame, features: Sequence[str], label: str) -> DataF
     return summed.select("channel", F.round("importance", 6).alias("importance"), F.array_position(F.lit([r.channel for r in summed.orderBy(F.col("importance").desc(), "channel").collect()]), F.col("channel")).cast("int").alias("rank"))
 
 
-def held_out_auc(rows: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 5) -> DataFrame:
-    """(model, auc, n): fitted on the other folds' groups, scored on one fold's; scaled by the fit rows only."""
-    fold = F.pmod(F.xxhash64(group), F.lit(folds))
-    raw = complete(rows, features, label)
-    scaled = minmax(raw.where(fold != 0), raw, features)
-    data = VectorAssembler(inputCols=list(features), outputCol="v").transform(scaled).select("y", "v", "weight", group)
-    fit, test = data.where(fold != 0), data.where(fold == 0)
-    n = fit.count()
+def held_out_auc(rows: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 5, key: Sequence[str] = ("filename", "start_ms")) -> DataFrame:
+    """(model, auc, n): every fold's groups scored by models fitted on the other folds', all scores pooled.
+
+    Only fit rows are undersampled, and they alone give the range for scaling.
+    """
+    fold = F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
+    data = materialise(complete(rows, features, label).select("y", *key, *features, fold.alias("_fold")), "learning")
+    assemble = VectorAssembler(inputCols=list(features), outputCol="v").transform
     out = []
-    for name, learner in (("rf", forest()), ("logreg", logistic(n)), ("mlp", perceptron(len(features)))):
-        scored = learner.fit(fit).transform(test).select(F.lit(name).alias("model"), "y", F.round(vector_to_array("probability")[1], 9).alias("p"))
-        out.append(auc_roc(scored, ["model"], "p", "y").join(scored.groupBy("model").agg(F.count(F.lit(1)).alias("n")), "model"))
-    return reduce(DataFrame.unionByName, out).withColumn("auc", F.round("auc", 4))
+    for i in sorted(r[0] for r in data.select("_fold").distinct().collect()):
+        drawn = materialise(balanced(data.where(F.col("_fold") != i), key), "drawn")
+        fit = materialise(assemble(minmax(drawn, drawn, features)).select("y", "v", "weight"), "fit")
+        test = assemble(minmax(drawn, data.where(F.col("_fold") == i), features)).select("y", "v")
+        for name, learner in (("rf", forest()), ("logreg", logistic(fit.count())), ("mlp", perceptron(len(features)))):
+            scored = learner.fit(fit).transform(test).select(F.lit(name).alias("model"), "y", F.round(vector_to_array("probability")[1], 9).alias("p"))
+            out.append(materialise(scored, "scores"))
+    pooled = reduce(DataFrame.unionByName, out)
+    counts = pooled.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+    return auc_roc(pooled, ["model"], "p", "y").join(counts, "model").withColumn("auc", F.round("auc", 4))
