@@ -68,13 +68,18 @@ def feat_complexity(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(e, "vec_id", {n: F.get("e", i) for i, n in enumerate(["phrases", "higuchi", "fluctuation"])})
 
 
-def series_windows(spark: SparkSession, d: str) -> DataFrame:
-    """(file, start, x): each supplier's prices in line order as one series, cut into whole windows.
+def whole_series(spark: SparkSession, d: str) -> DataFrame:
+    """(file, s): each supplier's prices in line order as one series.
 
     A supplier has some 600 lines at every scale, so a series is a bounded group.
     """
     rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("p"))
-    series = rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["l_extendedprice"] / 100).alias("s"))
+    return rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["l_extendedprice"] / 100).alias("s"))
+
+
+def series_windows(spark: SparkSession, d: str) -> DataFrame:
+    """(file, start, x): the series cut into whole windows."""
+    series = whole_series(spark, d)
     whole = series.where(F.size("s") >= LENGTH).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("s") - LENGTH, F.lit(LENGTH))))
     return whole.select("file", "start", F.slice("s", F.col("start") + 1, F.lit(LENGTH)).alias("x"))
 
@@ -98,7 +103,7 @@ def feat_crossings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filtered_series(spark: SparkSession, d: str) -> DataFrame:
-    """Power of each series before and after zero-phase band-pass and notch."""
+    """Power of each window before and after zero-phase band-pass and notch of its whole series; the last window may be short."""
     import pandas as pd
 
     def run(batches):
@@ -108,16 +113,24 @@ def filtered_series(spark: SparkSession, d: str) -> DataFrame:
 
         sections = np.concatenate([bandpass_sections(0.5, 40.0, RATE), notch_section(60.0, 30.0, RATE)])
         for b in batches:
-            xs = [np.asarray(x) for x in b["x"]]
-            ys = [zero_phase(sections, x) for x in xs]
-            yield pd.DataFrame({"file": b["file"], "start": b["start"], "before": [float(x.var()) for x in xs], "after": [float(y.var()) for y in ys], "mean_after": [float(y.mean()) for y in ys]})
+            rows = []
+            for file, s in zip(b["file"], b["s"], strict=True):
+                x = np.asarray(s, float)
+                y = zero_phase(sections, x)
+                for i in range(0, len(x), LENGTH):
+                    p, q = x[i : i + LENGTH], y[i : i + LENGTH]
+                    rows.append((file, i, len(p), float(p.var()), float(q.var()), float(q.mean())))
+            yield pd.DataFrame(rows, columns=["file", "start", "n_samples", "before", "after", "mean_after"])
 
-    out = series_windows(spark, d).mapInPandas(run, "file long, start int, before double, after double, mean_after double")
-    return out.select("file", "start", *[F.round(c, 6).alias(c) for c in ("before", "after", "mean_after")])
+    out = whole_series(spark, d).mapInPandas(run, "file long, start int, n_samples int, before double, after double, mean_after double")
+    return out.select("file", "start", "n_samples", *[F.round(c, 6).alias(c) for c in ("before", "after", "mean_after")])
 
 
 def edf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """Each series written as a recording and read back: header, and the worst error in digital steps."""
+    """Each whole series written as a recording and read back: header, and the worst error in digital steps.
+
+    The last record is filled up with the last sample.
+    """
     import pandas as pd
 
     from quillwave.sources import edf
@@ -126,13 +139,16 @@ def edf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         import numpy as np
 
         for b in batches:
-            yield pd.DataFrame({"path": [f"{f}-{s}.edf" for f, s in zip(b["file"], b["start"], strict=True)], "content": [edf.encode({"FP1-F7": np.asarray(x), "F7-T7": -np.asarray(x)}, 64) for x in b["x"]], "x": b["x"]})
+            full = [np.pad(np.asarray(s, float), (0, -len(s) % 64), "edge") for s in b["s"]]
+            yield pd.DataFrame({"path": [f"{f}.edf" for f in b["file"]], "content": [edf.encode({"FP1-F7": x, "F7-T7": -x}, 64) for x in full], "x": b["s"]})
 
-    files = series_windows(spark, d).mapInPandas(write, "path string, content binary, x array<double>")
+    files = whole_series(spark, d).mapInPandas(write, "path string, content binary, x array<double>")
     heads = edf.headers(files).select("path", F.array_join("labels", ";").alias("labels"), "duration_sec", F.get("rates", 0).alias("rate"))
-    samples = edf.signals(files).where("channel = 'FP1-F7'").select("path", "samples")
-    worst = files.join(samples, "path").select("path", (F.array_max(F.zip_with("x", "samples", lambda a, b: F.abs(a - b))) <= (F.array_max("x") - F.array_min("x") + 2) / 65535).alias("exact"))
-    return heads.join(worst, "path")
+    samples = edf.signals(files).where("channel = 'FP1-F7'").select("path", F.col("samples").alias("_s"))
+    back = files.join(samples, "path").withColumn("samples", F.slice("_s", F.lit(1), F.size("x")))
+    error = F.array_max(F.zip_with("x", "samples", lambda a, b: F.abs(a - b)))
+    exact = (F.size("samples") == F.size("x")) & (error <= (F.array_max("x") - F.array_min("x") + 2) / 65535)
+    return heads.join(back.select("path", F.size("x").alias("n_samples"), exact.alias("exact")), "path")
 
 
 def rf_channel_rank(spark: SparkSession, d: str) -> DataFrame:
