@@ -17,11 +17,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_bins(spark: SparkSession, d: str) -> DataFrame:
-    """What the consolidated files hold: records, recordings and span of each."""
+    """What the consolidated files hold of each recording: records, span and positives."""
     files = committed(spark, compact(table(spark, d, "part_files")))
-    return files.groupBy("bin", "filename").agg(
+    return files.groupBy("filename").agg(
         F.count(F.lit(1)).alias("n_records"), F.min("start_ms").alias("first_ms"), F.max("start_ms").alias("last_ms"), F.sum(F.coalesce("label", F.lit(0))).cast("long").alias("n_positive")
-    ).drop("bin")
+    )
+
+
+def p2_files(spark: SparkSession, d: str) -> DataFrame:
+    """One row per file of a consolidation into small bins (64 KiB of text): its bin, recordings, records and text lines."""
+    files = committed(spark, compact(table(spark, d, "part_files"), target=64 << 10)).withColumn("file", F.col("_metadata.file_name"))
+    return files.groupBy("bin", "file").agg(F.count_distinct("filename").alias("n_recordings"), F.count(F.lit(1)).alias("n_records"), F.sum("versions").alias("n_lines")).drop("file")
 
 
 def event_windows(windows: DataFrame) -> DataFrame:
@@ -43,7 +49,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return coverage(rows, ["filename", "seizure_event_id"], "start_ms", "end_ms")
 
 
-QUERIES = {"p2_found": p2_found, "p2_bins": p2_bins, "p4_found": p4_found}
+QUERIES = {"p2_found": p2_found, "p2_bins": p2_bins, "p2_files": p2_files, "p4_found": p4_found}
 
 _LINES = r"""
 WITH lines AS (

@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "quillwave", cores: int = 8, **conf: str) -> SparkSession:
@@ -28,38 +27,61 @@ def build_session(app: str = "quillwave", cores: int = 8, **conf: str) -> SparkS
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; on a local master, one of our own where it is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: Copies written by this process that nobody has dropped yet.
+_COPIES: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _COPIES.add(path)
+    return path
 
 
-def observed(watched: Observation, table: DataFrame, metrics: dict) -> dict:
-    """What was observed; counted on ``table`` if the optimizer found the input empty and observed nothing."""
-    try:
-        return dict(watched.get)
-    except Py4JJavaError:
-        return table.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _COPIES.discard(path)
 
 
 def materialise(df: DataFrame, name: str, **metrics) -> DataFrame | tuple[DataFrame, dict]:
     """Write ``df`` as a table in the shared folder and read it back, which cuts its lineage.
 
     The copy survives the loss of any executor.  ``metrics`` are aggregates
-    observed while writing; with any, a pair of table and metrics is returned.
+    over what was written, read from the copy, so that neither a repeated task
+    nor an input that changes can falsify them; with any, a pair of table and
+    metrics is returned.
     """
     spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    schema = df.schema
-    watched = Observation(f"{name}-{uuid.uuid4().hex[:8]}") if metrics else None
-    if watched:
-        df = df.observe(watched, *[c.alias(k) for k, c in metrics.items()])
     df.write.parquet(path)
-    table = spark.read.schema(schema).parquet(path)
-    return (table, observed(watched, table, metrics)) if watched else table
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch = path
+    if not metrics:
+        return table
+    return table, table.agg(*[c.alias(k) for k, c in metrics.items()]).first().asDict()
+
+
+def superseded(table: DataFrame) -> None:
+    """Delete the copy behind a table of ``materialise`` that nothing will read again."""
+    path = getattr(table, "scratch", None)
+    if path:
+        _delete(table.sparkSession, path)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete all copies written so far; call it once the results that read them are written. Returns how many."""
+    paths = sorted(_COPIES)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)

@@ -45,6 +45,47 @@ def test_many_bins_hold_every_record_once(spark):
     assert rows(found, "filename", "start_ms") == sorted(expected)
 
 
+def test_a_file_per_bin_and_nearly_as_few_bins_as_possible(spark):
+    rng = random.Random(5)
+    names = {i: f"r{i % 90}.edf" for i in range(400)}
+    bodies = ["\n".join([HEAD, *(f"{rng.randrange(1000)}.0,0,{i}" for _ in range(rng.randrange(1, 25)))]) for i in range(400)]
+    path = compact(files(spark, bodies, names), target=6000)
+    found = committed(spark, path).selectExpr("bin", "filename", "start_ms", "versions", "_metadata.file_name AS file").collect()
+    assert len({(r.bin, r.file) for r in found}) == len({r.bin for r in found}) == len({r.file for r in found})
+    assert sum(r.versions for r in found) == sum(b.count("\n") for b in bodies)
+    least = -(-sum(len(b) for b in bodies) // 6000)
+    assert least <= len({r.bin for r in found}) <= least * 11 / 9 + 1
+    assert len({r.filename: r.bin for r in found}) == 90 and len({(r.filename, r.bin) for r in found}) == 90
+
+
+def test_repeated_rows_null_ids_and_clashing_checksums(spark):
+    day = dt.datetime(2025, 1, 1)
+    body = f"{HEAD}\n0.0,0,1\n4.0,1,2"
+    data = [(1, "p", "f.edf", body, day, 1, "x", 0)] * 3 + [(None, "p", "f.edf", body, day, 1, "x", 0), (None, None, "g.edf", body, None, None, None, None), (5, "p", None, body, day, 1, "x", 0), (1, "q", "g.edf", body, day, 2, "x", 0)]
+    found = committed(spark, compact(spark.createDataFrame(data, SCHEMA)))
+    assert rows(found, "filename", "start_ms", "label", "versions") == [("f.edf", 0, 0, 4), ("f.edf", 4000, 1, 4), ("g.edf", 0, 0, 2), ("g.edf", 4000, 1, 2)]
+
+
+def test_lost_lines_aren_t_committed(spark, monkeypatch, tmp_path):
+    real, calls = compaction._records, []
+
+    def lossy(files, carry):
+        calls.append(carry)
+        return real(files, carry) if len(calls) == 1 else real(files, carry).where("start_ms > 0")
+
+    monkeypatch.setattr(compaction, "_records", lossy)
+    with pytest.raises(compaction.CompactionError):
+        compact(files(spark, [f"{HEAD}\n0.0,0,1\n4.0,0,1"]), root=str(tmp_path))
+    assert len(calls) == 2 and not list(tmp_path.glob("commit-*"))
+
+
+def test_target_bytes():
+    assert compaction.target_bytes(0) == compaction.LEAST_BYTES
+    assert compaction.target_bytes(1 << 30) == 1 << 24
+    assert compaction.target_bytes(1 << 38) == compaction.MOST_BYTES
+    assert -(-10**14 // compaction.target_bytes(10**14)) <= compaction.MOST_BINS
+
+
 def test_empty_table(spark):
     assert committed(spark, compact(files(spark, []).where("false"))).count() == 0
 
