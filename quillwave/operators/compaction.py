@@ -8,10 +8,10 @@
    are packed side by side (each block leaves at most one bin badly filled).
 3. Every bin is rewritten by one task, into one file, sorted.  Because a
    record's bin depends on the record alone, all its versions meet there and
-   only the last one is kept, with the number of versions.  Files are read as
-   the manifest has them: by number and checksum.
-4. The rewritten files are read again: the versions in them have to number what
-   the manifest counted, so no line is lost or doubled, and no file changed.
+   only the last one is kept, with the number of versions.
+4. The rewritten files are read again: the versions in them have to number the
+   lines of the source, so none is lost or doubled; and the source's checksums
+   have to be those of the frozen manifest still.
 5. A commit file naming the data is renamed into place.  Readers follow commit
    files only, so a job that dies leaves nothing visible.
 """
@@ -141,13 +141,12 @@ def compact(files: DataFrame, root: str | None = None, target: int | None = None
     spark = files.sparkSession
     root = root or scratch_path(spark, "compacted")
     files = files.select("part_id", "filename", "body", "written_at", "attempt")
-    frozen, sealed = materialise(manifest(files), "manifest", files=F.count(F.lit(1)), hash=F.sum(F.col("checksum").cast("decimal(38,0)")), bytes=F.sum("bytes"))
+    seal = {"files": F.count(F.lit(1)), "bytes": F.sum("bytes"), "hash": F.sum(F.col("checksum").cast("decimal(38,0)"))}
+    frozen, sealed = materialise(manifest(files), "manifest", **seal)
     lines = _records(_sealed(files), []).count()
     plan, n_bins = bins(frozen, target or target_bytes(sealed["bytes"] or 0), block_items)
-    routed = frozen.join(plan, "filename").select(F.col("part_id").alias("_part"), F.col("checksum").alias("_sum"), "pieces", "bin")
 
-    found = _sealed(files)
-    placed = found.join(routed, found["part_id"].eqNullSafe(routed["_part"]) & (found["checksum"] == routed["_sum"]))
+    placed = _sealed(files).join(plan, "filename")
     rows = _records(placed, ["filename", "pieces", "bin", "written_at", "attempt", "part_id"])
     rows = rows.withColumn("bin", (F.col("bin") + F.pmod(F.xxhash64("start_ms"), F.col("pieces"))).cast("int"))
     version = F.max(F.struct("written_at", "attempt", "part_id", "label", "value")).alias("v")
@@ -162,6 +161,8 @@ def compact(files: DataFrame, root: str | None = None, target: int | None = None
     wrote = again.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("versions"), F.lit(0)).alias("versions"), F.sum(parts).alias("hash")).first()
     if wrote["versions"] != lines:
         raise CompactionError(f"{lines} lines in {sealed['files']} files, {wrote['versions']} in the rewritten ones")
+    if manifest(files).agg(*[c.alias(k) for k, c in seal.items()]).first().asDict() != sealed:
+        raise CompactionError(f"the files changed since the manifest: {sealed}")
     entry = {"data": data, "files": sealed["files"], "source_checksum": str(sealed["hash"]), "bins": n_bins, "rows": wrote["n"], "checksum": str(wrote["hash"])}
     commit = f"{root}/commit-{uuid.uuid4().hex}.json"
     _put(spark, commit, json.dumps(entry))

@@ -79,6 +79,25 @@ def test_lost_lines_aren_t_committed(spark, monkeypatch, tmp_path):
     assert len(calls) == 2 and not list(tmp_path.glob("commit-*"))
 
 
+def test_changed_files_aren_t_committed(spark, tmp_path):
+    source = str(tmp_path / "source")
+    files(spark, [f"{HEAD}\n0.0,0,1\n4.0,0,1"]).write.parquet(source)
+    real = compaction.bins
+
+    def meanwhile(*args, **kwargs):
+        out = real(*args, **kwargs)
+        files(spark, [f"{HEAD}\n0.0,0,1\n4.0,0,7"]).write.mode("overwrite").parquet(source)
+        return out
+
+    compaction.bins = meanwhile
+    try:
+        with pytest.raises(Exception, match="changed|exist"):
+            compact(spark.read.parquet(source), root=str(tmp_path))
+    finally:
+        compaction.bins = real
+    assert not list(tmp_path.glob("commit-*"))
+
+
 def test_target_bytes():
     assert compaction.target_bytes(0) == compaction.LEAST_BYTES
     assert compaction.target_bytes(1 << 30) == 1 << 24
