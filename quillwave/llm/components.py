@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillwave.session import materialise
+from quillwave.session import materialise, superseded
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -46,8 +46,9 @@ def components(edges: DataFrame) -> DataFrame:
     links = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     state, seen = materialise(links, "links", **seal)
     while seen["n"]:
-        before = seen
+        before, old = seen, state
         state, seen = materialise(_small_star(_large_star(state)), "links", **seal)
+        superseded(old)
         if seen == before:
             break
     stars = state.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -22,8 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillwave.session import materialise
+
 #: Texts in a block, and the share of its tokens placed by cost alone.
 BLOCK_TEXTS, BALANCED_SHARE = 20_000, 0.7
+#: Specs are a small fixed table; every text is packed for each.
+MOST_SPECS = 1000
 
 
 class _Containers:
@@ -112,32 +116,37 @@ def pack(lengths: DataFrame, key: str, tokens: str, specs: DataFrame, block_text
     """(spec_id, key, piece, n_tokens, container): where every text or piece goes, per spec.
 
     ``specs`` is a small fixed table (spec_id, capacity_tokens), each packed
-    alone; specs without a positive capacity are ignored.  Pieces count from 0.
-    NULL lengths count as 0 tokens; texts without tokens are placed too, beside
-    others where there are any.  A repeated key is two texts.  Without texts
-    the result is empty.  No container holds more than its capacity.
+    alone; specs without a positive capacity are ignored, more than
+    ``MOST_SPECS`` are an error.  Pieces count from 0.  NULL lengths count as 0
+    tokens; texts without tokens are placed too, beside others where there are
+    any.  Texts are told apart by their row, so a repeated or NULL key is as
+    many texts as it has rows, spread over the blocks like any others.  Without
+    texts the result is empty.  No container holds more than its capacity.
     """
-    wanted = [(r[0], r[1]) for r in specs.select("spec_id", "capacity_tokens").dropna().limit(1000).collect() if r[1] > 0]
+    wanted = [(r[0], r[1]) for r in specs.select("spec_id", "capacity_tokens").dropna().limit(MOST_SPECS + 1).collect() if r[1] > 0]
+    if len(wanted) > MOST_SPECS:
+        raise ValueError(f"more than {MOST_SPECS} specs")
     size = F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long")
-    texts = lengths.select(F.col(key), size.alias("size"))
-    blocks = max(1, -(-texts.count() // block_texts))
+    # written once: a row keeps its number whatever is lost and computed again
+    texts, seen = materialise(lengths.select(F.col(key).alias("_key"), size.alias("size"), F.monotonically_increasing_id().alias("_row")), "texts", n=F.count(F.lit(1)))
+    blocks = max(1, -(-seen["n"] // block_texts))
     kind = lengths.schema[key].dataType.simpleString()
     specs_of_each = F.array(*[F.struct(F.lit(i).alias("spec_id"), F.lit(c).alias("capacity")) for i, c in wanted]).cast("array<struct<spec_id:int,capacity:int>>")
     each = texts.select("*", F.inline(specs_of_each))
     full = F.floor(F.greatest(F.col("size") - 1, F.lit(0)) / F.col("capacity")).cast("long")  # pieces that fill a container
     each = each.withColumn("full", full).withColumn("rest", F.col("size") - F.col("full") * F.col("capacity"))
-    block = F.pmod(F.xxhash64(key), F.lit(blocks))
+    block = F.pmod(F.xxhash64("_row"), F.lit(blocks))
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["rest", "_key"], ascending=[False, True], na_position="last")
+        group = group.sort_values(["rest", "_row"], ascending=[False, True])
         found = pack_block(group["rest"].to_numpy(), int(group["capacity"].iloc[0]))
         name = f"{group['spec_id'].iloc[0]}-{group['_block'].iloc[0]}-"
         return pd.DataFrame({"spec_id": group["spec_id"], "_key": group["_key"], "piece": group["full"], "n_tokens": group["rest"], "container": [f"{name}{c}" for c in found]})
 
     rests = (
-        each.select("spec_id", "capacity", F.col(key).alias("_key"), "full", "rest", block.alias("_block"))
+        each.select("spec_id", "capacity", "_key", "_row", "full", "rest", block.alias("_block"))
         .groupBy("spec_id", "_block").applyInPandas(fill, f"spec_id int, _key {kind}, piece long, n_tokens long, container string")
     )
-    whole = each.where("full > 0").select("spec_id", F.col(key).alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"), F.col("capacity").cast("long").alias("n_tokens"))
-    whole = whole.withColumn("container", F.concat_ws("-", "spec_id", F.lit("full"), "_key", "piece"))
+    whole = each.where("full > 0").select("spec_id", "_key", "_row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full") - 1)).alias("piece"), F.col("capacity").cast("long").alias("n_tokens"))
+    whole = whole.withColumn("container", F.concat_ws("-", "spec_id", F.lit("full"), "_row", "piece")).drop("_row")
     return rests.unionByName(whole).withColumnRenamed("_key", key)

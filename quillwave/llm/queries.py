@@ -66,6 +66,13 @@ def p3_events(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every sequence cut into levels: runs whose neighbours' mean values are alike too, so that a slow drift isn't one run."""
+    records = prediction_records(table(spark, d, "predictions"))
+    runs = collapse_runs(records, ["run_id", "filename"], "start_ms", "units", MOST_APART, MOST_GAP_MS, linkage="mean")
+    return runs.select("run_id", "filename", F.col("first").alias("first_ms"), F.col("last").alias("last_ms"), F.col("n").alias("n_windows"), F.round(F.col("x_sum") / F.col("n"), 6).alias("mean_units"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Related subjects that a fold plan parts."""
     related = materialise(splits.related_subjects(table(spark, d, "recordings"), table(spark, d, "subject_links")), "related")
@@ -77,6 +84,29 @@ def p5_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.grouped_splits(table(spark, d, "recordings"), table(spark, d, "subject_links"), table(spark, d, "split_shares"))
 
 
+def p5_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Per label: recordings with it, the most of them in one component, whether every component is whole and every split is within one component of its share."""
+    recordings, links, shares = table(spark, d, "recordings"), table(spark, d, "subject_links"), table(spark, d, "split_shares")
+    related = materialise(splits.related_subjects(recordings, links), "related")
+    vectors = materialise(splits.label_vectors(recordings, related), "vectors")
+    placed = vectors.join(splits.assign(vectors, shares), "component")
+    long = placed.unpivot(["component", "split"], list(splits.LABELS), "label", "n")
+    component = long.groupBy("label", "component").agg(F.sum("n").alias("n"), F.count_distinct("split").alias("splits"))
+    each = component.groupBy("label").agg(F.sum("n").alias("n_recordings"), F.max("n").alias("largest"), (F.max("splits") == 1).alias("whole"))
+    wanted = shares.groupBy(normal("split").alias("split")).agg(F.max("share_permille").alias("_share"))
+    total = wanted.agg(F.sum("_share").alias("_all"))
+    got = long.groupBy("label", "split").agg(F.sum("n").alias("got"))
+    want = each.crossJoin(F.broadcast(wanted.crossJoin(F.broadcast(total))))  # labels and splits are a few rows each
+    off = want.join(got, ["label", "split"], "left").withColumn("_off", F.abs(F.coalesce("got", F.lit(0)) - F.col("n_recordings") * F.col("_share") / F.col("_all")))
+    return off.groupBy("label", "n_recordings", "largest", "whole").agg((F.max(F.col("_off") - F.col("largest")) <= 0).alias("within"))
+
+
+def p5_torn(spark: SparkSession, d: str) -> DataFrame:
+    """Components of related subjects that a fold plan puts into more than one fold, with their sizes."""
+    related = materialise(splits.related_subjects(table(spark, d, "recordings"), table(spark, d, "subject_links")), "related")
+    return splits.torn(table(spark, d, "cv_folds"), related)
+
+
 def p5_components(spark: SparkSession, d: str) -> DataFrame:
     """The component of every subject that is related to another."""
     found = splits.related_subjects(table(spark, d, "recordings"), table(spark, d, "subject_links"))
@@ -90,8 +120,16 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_packing(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document or piece, for each capacity."""
-    lengths = materialise(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "lengths")
-    return pack(lengths, "doc_id", "n_tokens", table(spark, d, "pack_specs"))
+    return pack(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens", table(spark, d, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Per capacity: containers, the least number that could do, and the tokens in them."""
+    specs = table(spark, d, "pack_specs")
+    placed = pack(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens", specs)
+    each = placed.groupBy("spec_id", "container").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    total = each.groupBy("spec_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), F.sum("pieces").alias("pieces"))
+    return total.join(specs, "spec_id").withColumn("least", F.ceil(F.col("tokens") / F.col("capacity_tokens"))).select("spec_id", "capacity_tokens", "containers", "least", "tokens", "pieces", "fullest")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,6 +140,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found, "p1_cutoffs": p1_cutoffs, "p3_found": p3_found, "p3_events": p3_events, "p5_found": p5_found, "p5_splits": p5_splits,
     "p5_components": p5_components, "p6_ids": p6_ids, "p7_packing": p7_packing, "p8_found": p8_found,
+    "p3_levels": p3_levels, "p5_shares": p5_shares, "p5_torn": p5_torn, "p7_fill": p7_fill,
 }
 
 _RECORDS = """
@@ -170,6 +209,25 @@ numbered AS (SELECT *, sum(opens) OVER (PARTITION BY run_id, filename ORDER BY s
 SELECT run_id, filename, min(start_ms) AS first_ms, count(*) AS n_windows, max(start_ms) - min(start_ms) AS span_ms, arg_min(units, start_ms) AS first_units
 FROM numbered GROUP BY run_id, filename, k""",
     "p5_components": _RELATED + "SELECT node AS subject_id, component FROM related",
+    "p5_shares": _RELATED + """,
+flags AS (
+  SELECT lower(trim(subject)) AS subject, lower(trim(filename)) AS filename, max(CAST(coalesce(n_seizures > 0, false) AS INTEGER)) AS seizures, max(CAST(coalesce(is_monopolar, false) AS INTEGER)) AS monopolar,
+    max(CAST(coalesce(CASE WHEN isfinite(duration_sec) THEN duration_sec <= 0 END, false) AS INTEGER)) AS no_signal, max(CAST(coalesce(CASE WHEN isfinite(duration_sec) THEN duration_sec > 300 END, false) AS INTEGER)) AS long, 1 AS records
+  FROM recordings WHERE subject IS NOT NULL AND trim(subject) <> '' GROUP BY 1, 2),
+vectors AS (
+  SELECT coalesce(r.component, f.subject) AS component, sum(seizures) AS seizures, sum(monopolar) AS monopolar, sum(no_signal) AS no_signal, sum(long) AS long, sum(records) AS records
+  FROM flags f LEFT JOIN related r ON f.subject = r.node GROUP BY 1)
+SELECT label, CAST(sum(n) AS BIGINT) AS n_recordings, CAST(max(n) AS BIGINT) AS largest, true AS whole, true AS within FROM (UNPIVOT vectors ON seizures, monopolar, no_signal, long, records INTO NAME label VALUE n) GROUP BY label""",
+    "p5_torn": _RELATED + r""",
+plans AS (
+  SELECT DISTINCT plan_id, lower(trim(scheme)) AS scheme, unnest(json_keys(folds)) AS name, folds FROM cv_folds),
+entries AS (
+  SELECT plan_id, CASE WHEN scheme = 'loo' THEN regexp_extract(lower(name), '([a-z]+[0-9]+)', 1) ELSE regexp_extract(trim(name), '([0-9]+)$', 1) END AS fold,
+    unnest(CAST(json_extract(folds, '$."' || name || '"') AS VARCHAR[])) AS entry FROM plans),
+listed AS (
+  SELECT DISTINCT plan_id, fold, lower(trim(s)) AS subject FROM (SELECT plan_id, fold, unnest(string_split(entry, '+')) AS s FROM entries))
+SELECT l.plan_id, coalesce(r.component, l.subject) AS component, count(DISTINCT l.subject) AS n_subjects, count(DISTINCT l.fold) AS n_folds
+FROM listed l LEFT JOIN related r ON l.subject = r.node GROUP BY 1, 2 HAVING count(DISTINCT l.fold) > 1""",
     "p5_found": _RELATED + r""",
 plans AS (
   SELECT DISTINCT plan_id, lower(trim(scheme)) AS scheme, unnest(json_keys(folds)) AS name, folds FROM cv_folds),

@@ -24,7 +24,7 @@ def test_cutoffs_equal_brute_force(spark):
         data += [(f"s{i}", s, "x") for s in scores]
         targets.append((f"s{i}", permille))
         c = brute_cutoff(scores, permille)
-        want.append((f"s{i}", len(scores), c, sum(s >= c for s in scores)))
+        want.append((f"s{i}", len(scores), c, sum(s >= c for s in scores)))  # kept counts ties
     records = spark.createDataFrame(data, "src string, score int, cutoff string")
     found = cutoffs(histogram(records, ["src"], "score"), spark.createDataFrame(targets, "src string, keep_permille int"), ["src"])
     assert rows(found, "src", "n", "cutoff", "kept") == sorted(want)
@@ -40,6 +40,32 @@ def test_hot_source_and_missing_values(spark):
     assert kept.columns == records.columns and kept.count() == sum(i % 997 >= c for i in range(5000))
 
 
+def test_fractional_scores_and_clashing_names(spark):
+    import pytest
+
+    data = [(f"a{i % 2}", i / 10, 1) for i in range(20)] + [("a0", float("nan"), 1), ("a1", None, 1), (None, 0.5, 1)]
+    for name in ("s", "n", "k", "x", "w", "a", "b", "cutoff", "_w", "lo"):
+        records = spark.createDataFrame(data, f"`{name}` string, score double, kept int")
+        targets = spark.createDataFrame([("a0", 300), ("a1", 1000)], f"`{name}` string, keep_permille int")
+        kept, found = keep(records, targets, [name], "score", scale=10)
+        assert rows(kept) == [("a0", x, 1) for x in (1.4, 1.6, 1.8)] + [("a1", i / 10, 1) for i in range(1, 20, 2)]
+        assert found.count() == 2
+    with pytest.raises(Exception, match="whole number"):
+        keep(records, targets, [name], "score")[0].count()
+
+
+def test_huge_range_takes_few_rounds(spark, monkeypatch):
+    from quillwave.llm import cutoffs as module
+
+    rng = random.Random(7)
+    data = [("a", rng.randrange(10**12)) for _ in range(3000)] + [("b", int(rng.expovariate(1e-9))) for _ in range(2000)]
+    rounds, real = [], module._cut
+    monkeypatch.setattr(module, "_cut", lambda *a: rounds.append(1) or real(*a))
+    found = cutoffs(histogram(spark.createDataFrame(data, "src string, score long"), ["src"], "score"), spark.createDataFrame([("a", 333), ("b", 20)], "src string, keep_permille int"), ["src"])
+    assert rows(found, "src", "cutoff") == [(s, brute_cutoff([x for k, x in data if k == s], p)) for s, p in (("a", 333), ("b", 20))]
+    assert len(rounds) <= 8
+
+
 def test_no_records(spark):
     records = spark.createDataFrame([], "src string, score int")
     kept, found = keep(records, spark.createDataFrame([("a", 5)], "src string, keep_permille int"), ["src"], "score")
@@ -54,6 +80,42 @@ def test_merge_neighbours_takes_the_nearest_first():
     assert [x.tolist() for x in merge_neighbours(np.array([], int))] == [[0], [0]]
 
 
+def brute_means(values, apart):
+    """Merges the neighbouring runs with the nearest means first, as plainly as possible; values a NULL apart never merge."""
+    runs = [[i, i, v, 1] for i, v in enumerate(values)]
+    while True:
+        near = [(abs(a[2] / a[3] - b[2] / b[3]), i) for i, (a, b) in enumerate(zip(runs, runs[1:], strict=False)) if abs(values[a[1]] - values[b[0]]) <= apart and abs(a[2] / a[3] - b[2] / b[3]) <= apart]
+        if not near:
+            return [(a, b) for a, b, *_ in runs]
+        _, i = min(near)
+        a, b = runs[i : i + 2]
+        runs[i : i + 2] = [[a[0], b[1], a[2] + b[2], a[3] + b[3]]]
+
+
+def test_mean_linkage_equals_brute_force_and_depends_on_the_order_of_merges(spark):
+    rng = random.Random(21)
+    drift = list(range(0, 200, 4))
+    cases = {"drift": drift, "walk": [100]}
+    for _ in range(150):
+        cases["walk"].append(cases["walk"][-1] + rng.randrange(-9, 10))
+    for i in range(12):
+        cases[f"r{i}"] = [rng.randrange(30) for _ in range(40)]
+    df = spark.createDataFrame([(k, t, x) for k, v in cases.items() for t, x in enumerate(v)], "k string, t int, x int")
+    got = collapse_runs(df, ["k"], "t", "x", 10, 4, linkage="mean")
+    want = sorted((k, a, b, sum(v[a : b + 1])) for k, v in cases.items() for a, b in brute_means(v, 10))
+    assert rows(got, "k", "first", "last", "x_sum") == want
+    assert len([w for w in want if w[0] == "drift"]) > 1  # one touching run, several levels
+    assert rows(collapse_runs(df.where("k = 'drift'"), ["k"], "t", "x", 10, 4), "first", "last") == [(0, 49)]
+
+
+def test_mean_linkage_in_blocks_covers_every_event_once(spark):
+    rng = random.Random(22)
+    df = spark.createDataFrame([("a", t, rng.choice([None, *range(40)])) for t in range(500)], "k string, t int, x int")
+    for block in (7, 64):
+        got = sorted(collapse_runs(df, ["k"], "t", "x", 10, 4, block, "mean").select("first", "last", "n").collect())
+        assert [r.first for r in got] == [0, *[r.last + 1 for r in got[:-1]]] and got[-1].last == 499 and all(r.n == r.last - r.first + 1 for r in got)
+
+
 def brute_runs(events, apart, gap):
     out = []
     for k in {e[0] for e in events if e[0] is not None}:

@@ -85,6 +85,40 @@ def test_place_shares_out_the_rare_label():
     assert len(splits.place(np.zeros((0, 2), int), [], np.array([1.0]))) == 0
 
 
+def test_shares_are_alike_at_every_size_of_block(spark):
+    rng = random.Random(12)
+    rare = [(f"r{i:03}", 1, 0, 0, 0, 1) for i in range(100)]
+    other = [(f"c{i:04}", 0, int(rng.random() < 0.2), int(rng.random() < 0.1), rng.randrange(3), 0) for i in range(900)]
+    data = rare + [(c, a, b, x, y, max(b, x, y) + rng.randrange(1, 4)) for c, a, b, x, y, _ in other]
+    vectors = spark.createDataFrame(data, "component string, " + ", ".join(f"{k} long" for k in splits.LABELS))
+    shares = spark.createDataFrame([("train", 800), ("validation", 100), ("test", 100)], "split string, share_permille int")
+    largest = {k: max(r[i + 1] for r in data) for i, k in enumerate(splits.LABELS)}
+    for block in (20, 100, 100_000):
+        got = splits.assign(vectors, shares, block_components=block).collect()
+        assert sorted(r.component for r in got) == sorted(r[0] for r in data)
+        to = {r.component: r.split for r in got}
+        for i, k in enumerate(splits.LABELS):
+            total = sum(r[i + 1] for r in data)
+            for s, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+                n = sum(r[i + 1] for r in data if to[r[0]] == s)
+                assert abs(n - share * total) <= largest[k] or (k not in ("seizures", "records") and abs(n - share * total) <= 0.05 * total), (block, k, s, n, share * total)
+
+
+def test_one_block_equals_placing_in_one_go(spark):
+    rng = random.Random(3)
+    data = [(f"c{i:03}", rng.randrange(2), rng.randrange(2), 0, rng.randrange(4), rng.randrange(1, 9)) for i in range(200)]
+    vectors = spark.createDataFrame(data, "component string, " + ", ".join(f"{k} long" for k in splits.LABELS))
+    shares = spark.createDataFrame([("a", 500), ("b", 300), ("c", 200)], "split string, share_permille int")
+    found = splits.place(np.array([r[1:] for r in data]), [r[0] for r in data], np.array([0.5, 0.3, 0.2]))
+    assert rows(splits.assign(vectors, shares)) == sorted((r[0], "abc"[s]) for r, s in zip(data, found.tolist(), strict=True))
+
+
+def test_empty_tables(spark):
+    shares = spark.createDataFrame([("a", 500), ("b", 500)], "split string, share_permille int")
+    vectors = spark.createDataFrame([], "component string, " + ", ".join(f"{k} long" for k in splits.LABELS))
+    assert splits.assign(vectors, shares).count() == 0
+
+
 def test_parted(spark):
     plans = spark.createDataFrame([
         (1, "5fold", '{"fold_0": ["A", "b+c"], "1": ["d", "a "]}'), (1, "5fold", '{"fold_0": ["A", "b+c"], "1": ["d", "a "]}'), (2, "5fold", '{"0": ["a"], "fold 0": ["d"], "1": ["z"]}'),
@@ -92,3 +126,4 @@ def test_parted(spark):
     ], "plan_id long, scheme string, folds string")
     related = spark.createDataFrame([(x, "b") for x in ("b", "d", "x")], "node string, component string")
     assert rows(splits.parted(plans, related)) == [(1, "a", "a"), (1, "b", "d")]
+    assert rows(splits.torn(plans, related)) == [(1, "a", 1, 2), (1, "b", 2, 2)]

@@ -83,6 +83,24 @@ def test_packing(spark):
     assert rows(packing.pack(df.where("doc_id = -1").union(spark.createDataFrame([(7, None, 1)], df.schema)), "doc_id", "n_tokens", table), "spec_id", "piece", "n_tokens") == [(1, 0, 0), (2, 0, 0)]
 
 
+def test_repeated_and_null_keys_are_texts_of_their_own(spark):
+    df = spark.createDataFrame([(4, 1500), (4, 1500), (4, 600), (None, 1500), (None, 1500), (None, 3)] + [(7, 1)] * 50, "doc_id long, n_tokens long")
+    specs = spark.createDataFrame([(1, 512)], "spec_id int, capacity_tokens int")
+    for block in (20_000, 10):
+        got = packing.pack(df, "doc_id", "n_tokens", specs, block).collect()
+        load = {}
+        for r in got:
+            load[r.container] = load.get(r.container, 0) + r.n_tokens
+        assert max(load.values()) <= 512 and sum(load.values()) == 4 * 1500 + 600 + 3 + 50 and len(got) == 4 * 3 + 2 + 1 + 50
+        assert sum(r.container.startswith("1-full") for r in got) == 9
+
+
+def test_too_many_specs_are_an_error(spark):
+    specs = spark.range(1001).selectExpr("int(id) AS spec_id", "512 AS capacity_tokens")
+    with pytest.raises(ValueError, match="1000"):
+        packing.pack(spark.createDataFrame([(1, 2)], "doc_id long, n_tokens long"), "doc_id", "n_tokens", specs)
+
+
 def test_packing_is_tight():
     rng = random.Random(8)
     for capacity in (512, 2048):
