@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,9 +23,12 @@ def threshold_units() -> list[int]:
     return sorted({*range(1, 100), *range(10, 1000, 10), *range(1000, 10000, 100)})
 
 
-def coarse_units() -> list[int]:
-    """A short grid for display: dense at both ends."""
-    return sorted({1, 2, 5, 10, 20, 50, 100, 200, 300, *range(500, 9501, 500), 9700, 9800, 9900, 9950, 9980, 9990})
+def display_units() -> list[int]:
+    """The grid for display, in ten-thousandths: geometric from 5 to 200 and towards the top, even steps between."""
+    geometric = lambda a, b, n: [a * (b / a) ** (i / (n - 1)) for i in range(n)]
+    even = lambda a, b, n: [a + (b - a) * i / (n - 1) for i in range(1, n)]
+    points = [*geometric(5, 200, 10), *even(200, 3000, 10), *even(3000, 8000, 8), *(10_000 - x for x in geometric(10, 2000, 18))]
+    return sorted({math.ceil(round(x, 6)) for x in points})
 
 
 def sweep_events(records: DataFrame, keys: list[str], thresholds: Sequence[int], gap_ms: int) -> DataFrame:

@@ -81,8 +81,8 @@ def split(source: str, name: str, keys: str, longest: int) -> str:
 {name} AS (SELECT {keys}, s + k * {longest} AS start_ms, least(e, s + (k + 1) * {longest}) AS end_ms FROM {name}_c)"""
 
 
-def scored(rule, keys: list[str], refs: str, hyps: str, listed: str, name: str = "scored") -> str:
-    """SQL of ``scoring.score``: relation ``name`` (keys, tp, fp, ref_true)."""
+def scored(rule, keys: list[str], refs: str, hyps: str, listed: str, name: str = "scored", tag: str = "") -> str:
+    """SQL of ``scoring.score``: relation ``name`` (keys, tp, fp, ref_true); ``tag`` begins the names of the steps."""
     k = ", ".join(keys)
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in keys)
     raster = lambda src: f"""SELECT {", ".join(f"x.{c}" for c in keys)}, greatest(0, x.start_ms // 1000 * 1000) AS start_ms,
@@ -90,14 +90,14 @@ def scored(rule, keys: list[str], refs: str, hyps: str, listed: str, name: str =
     ov = "least(r.end_ms, h.end_ms) - greatest(r.start_ms, h.start_ms)"
     op = ">" if rule.strict else ">="
     return f"""
-ref_0 AS (SELECT * FROM ({raster(refs)}) WHERE start_ms < end_ms),{merged("ref_0", "ref_1", k, rule.merge_ms - 1)},{split("ref_1", "ref_2", k, rule.longest_ms)},
-hyp_0 AS (SELECT * FROM ({raster(f"(SELECT * FROM {hyps} WHERE end_ms - start_ms > {rule.drop_upto_ms})")}) WHERE start_ms < end_ms),{merged("hyp_0", "hyp_1", k, rule.merge_ms - 1)},{split("hyp_1", "hyp_2", k, rule.longest_ms)},
-wide AS (SELECT {k}, greatest(0, start_ms - {rule.before_ms}) AS start_ms, end_ms + {rule.after_ms} AS end_ms FROM ref_2),
-found AS (SELECT {", ".join(f"r.{c}" for c in keys)}, r.start_ms, r.end_ms FROM wide r JOIN hyp_2 h ON {on("r", "h")} AND {ov} > 0
+{tag}ref_0 AS (SELECT * FROM ({raster(refs)}) WHERE start_ms < end_ms),{merged(f"{tag}ref_0", f"{tag}ref_1", k, rule.merge_ms - 1)},{split(f"{tag}ref_1", f"{tag}ref_2", k, rule.longest_ms)},
+{tag}hyp_0 AS (SELECT * FROM ({raster(f"(SELECT * FROM {hyps} WHERE end_ms - start_ms > {rule.drop_upto_ms})")}) WHERE start_ms < end_ms),{merged(f"{tag}hyp_0", f"{tag}hyp_1", k, rule.merge_ms - 1)},{split(f"{tag}hyp_1", f"{tag}hyp_2", k, rule.longest_ms)},
+{tag}wide AS (SELECT {k}, greatest(0, start_ms - {rule.before_ms}) AS start_ms, end_ms + {rule.after_ms} AS end_ms FROM {tag}ref_2),
+{tag}found AS (SELECT {", ".join(f"r.{c}" for c in keys)}, r.start_ms, r.end_ms FROM {tag}wide r JOIN {tag}hyp_2 h ON {on("r", "h")} AND {ov} > 0
   GROUP BY ALL HAVING CAST(sum({ov}) AS DOUBLE) / (r.end_ms - r.start_ms) {op} {rule.least_overlap}),
-alarms AS (SELECT {k} FROM hyp_2 r WHERE NOT EXISTS (SELECT 1 FROM found h WHERE {on("r", "h")} AND {ov} > 0)),
+{tag}alarms AS (SELECT {k} FROM {tag}hyp_2 r WHERE NOT EXISTS (SELECT 1 FROM {tag}found h WHERE {on("r", "h")} AND {ov} > 0)),
 {name} AS (SELECT {", ".join(f"l.{c}" for c in keys)}, coalesce(t.n, 0) AS tp, coalesce(a.n, 0) AS fp, coalesce(r.n, 0) AS ref_true
   FROM (SELECT DISTINCT {k} FROM {listed}) l
-  LEFT JOIN (SELECT {k}, count(*) AS n FROM found GROUP BY {k}) t ON {on("l", "t")}
-  LEFT JOIN (SELECT {k}, count(*) AS n FROM alarms GROUP BY {k}) a ON {on("l", "a")}
-  LEFT JOIN (SELECT {k}, count(*) AS n FROM ref_2 GROUP BY {k}) r ON {on("l", "r")})"""
+  LEFT JOIN (SELECT {k}, count(*) AS n FROM {tag}found GROUP BY {k}) t ON {on("l", "t")}
+  LEFT JOIN (SELECT {k}, count(*) AS n FROM {tag}alarms GROUP BY {k}) a ON {on("l", "a")}
+  LEFT JOIN (SELECT {k}, count(*) AS n FROM {tag}ref_2 GROUP BY {k}) r ON {on("l", "r")})"""

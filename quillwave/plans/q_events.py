@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +14,14 @@ from quillwave.plans import inputs
 from quillwave.plans.inputs import FILES, INTERVALS, RECORDS, SPANS, merged, split
 from quillwave.semantics import ratio
 from quillwave.session import materialise
+from quillwave.tables import table
 
 RUN_FILE = ["run_id", "filename"]
 #: Ten-thousandths and milliseconds used by the queries below.
 AT, GAP, LEAST, LONGEST = 3000, 8000, 8000, 20_000
-THRESHOLDS = sweep.coarse_units()
+THRESHOLDS = sweep.threshold_units()
+#: Least sensitivity and most false alarms a day by criterion.
+CRITERIA = {"medication_titration": (0.6, 5.0), "realtime_alert": (0.8, 2.0)}
 RULES = (scoring.ANY_HIT, scoring.COVER_70)
 
 
@@ -145,75 +151,88 @@ def always_positive_baseline(spark: SparkSession, d: str) -> DataFrame:
     return both[0].unionByName(both[1]).groupBy("run_id", "rule").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "ref_true")])
 
 
-def _curve(spark: SparkSession, d: str) -> DataFrame:
+def _curve(spark: SparkSession, d: str, rules: Sequence[scoring.Rule]) -> DataFrame:
+    """(run_id, rule, threshold, ...) of the tuning splits, at all thresholds of the fine grid."""
     rows = materialise(inputs.records(spark, d).where("split = 'tuning' AND grid"), "records")
-    return sweep.sweep_curve(rows, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", THRESHOLDS, GAP, scoring.ANY_HIT)
+    curve = sweep.state_curves(rows, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", THRESHOLDS, [GAP], rules)
+    return _rounded(curve.drop("merge_gap"), "hours", "sens", "fa_per_day")
 
 
 def sweep_curve(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(_curve(spark, d), "hours", "sens", "fa_per_day")
+    return _curve(spark, d, RULES[:1]).drop("rule")
 
 
-def _pick(spark: SparkSession, d: str, fallback: bool) -> DataFrame:
-    picked = sweep.pick_threshold(_rounded(_curve(spark, d), "hours", "sens", "fa_per_day"), "run_id", 5.0, fallback)
-    return picked.select("run_id", "threshold", "tp", "fp", "ref_true", "sens", "fa_per_day", "ceiling_met")
+def sweep_curve_full(spark: SparkSession, d: str) -> DataFrame:
+    """The curve under both rules."""
+    return _curve(spark, d, RULES)
+
+
+def _pick(spark: SparkSession, d: str, fallback: bool, rules: Sequence[scoring.Rule]) -> DataFrame:
+    picked = sweep.pick_threshold(_curve(spark, d, rules), ["run_id", "rule"], 5.0, fallback)
+    return picked.select("run_id", "rule", "threshold", "tp", "fp", "ref_true", "sens", "fa_per_day", "ceiling_met")
 
 
 def pick_threshold(spark: SparkSession, d: str) -> DataFrame:
-    return _pick(spark, d, False)
+    return _pick(spark, d, False, RULES[:1]).drop("rule")
 
 
 def pick_threshold_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return _pick(spark, d, True)
+    return _pick(spark, d, True, RULES[:1]).drop("rule")
 
 
-def criteria_met(spark: SparkSession, d: str) -> DataFrame:
-    points = sweep.criteria_met(_rounded(_curve(spark, d), "sens", "fa_per_day"), 0.6, 50.0)
-    return points.groupBy("run_id").agg(F.count_if("met").alias("n_met"), F.count(F.lit(1)).alias("n_thresholds"))
+def pick_threshold_full(spark: SparkSession, d: str) -> DataFrame:
+    return _pick(spark, d, False, RULES)
 
 
-def percentile_transfer(spark: SparkSession, d: str) -> DataFrame:
-    rows = inputs.records(spark, d).where("units IS NOT NULL AND grid")
-    points = materialise(_pick(spark, d, True).select("run_id", "threshold"), "picked")
-    moved = sweep.percentile_transfer(rows.where("split = 'tuning'"), rows.where("split = 'test'"), points, "run_id")
-    return moved.select("run_id", F.round("fraction", 9).alias("fraction"), "n", "k", "threshold")
+def pick_threshold_fallback_full(spark: SparkSession, d: str) -> DataFrame:
+    return _pick(spark, d, True, RULES)
 
 
-def _curve_full(spark: SparkSession, d: str) -> DataFrame:
-    rows = materialise(inputs.records(spark, d).where("split = 'tuning' AND grid"), "records")
-    curve = sweep.state_curves(rows, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", sweep.threshold_units(), [GAP], RULES)
-    return _rounded(curve.drop("merge_gap"), "hours", "sens", "fa_per_day")
+def _met(curve: DataFrame) -> DataFrame:
+    """How many thresholds of each run and rule meet each criterion."""
+    curve = materialise(curve, "curve")
+    parts = []
+    for name, (least, most) in CRITERIA.items():
+        points = sweep.criteria_met(curve, least, most).groupBy("run_id", "rule")
+        parts.append(points.agg(F.count_if("met").alias("n_met"), F.count(F.lit(1)).alias("n_thresholds")).withColumn("criterion", F.lit(name)))
+    return parts[0].unionByName(parts[1])
 
 
-def sweep_curve_full(spark: SparkSession, d: str) -> DataFrame:
-    """The curve at all 279 thresholds, under both rules."""
-    return _curve_full(spark, d)
+def criteria_met(spark: SparkSession, d: str) -> DataFrame:
+    return _met(_curve(spark, d, RULES[:1])).drop("rule")
 
 
-def _pick_full(spark: SparkSession, d: str, fallback: bool) -> DataFrame:
-    picked = sweep.pick_threshold(_curve_full(spark, d), ["run_id", "rule"], 5.0, fallback)
-    return picked.select("run_id", "rule", "threshold", "tp", "fp", "ref_true", "sens", "fa_per_day", "ceiling_met")
+def criteria_met_full(spark: SparkSession, d: str) -> DataFrame:
+    return _met(_curve(spark, d, RULES))
 
 
-def pick_threshold_full(spark: SparkSession, d: str) -> DataFrame:
-    return _pick_full(spark, d, False)
+def _percentile(spark: SparkSession, d: str, rules: Sequence[scoring.Rule]) -> DataFrame:
+    """Per run and rule: the test threshold that flags the share that the picked one flags on tuning."""
+    rows = inputs.records(spark, d).where("units IS NOT NULL AND grid")
+    points = materialise(_pick(spark, d, True, rules).select("run_id", "rule", "threshold"), "picked")
+    both = [sweep.percentile_transfer(rows.where("split = 'tuning'"), rows.where("split = 'test'"), points.where(F.col("rule") == r.name), "run_id").withColumn("rule", F.lit(r.name)) for r in rules]
+    return reduce(DataFrame.unionByName, both).select("run_id", "rule", F.round("fraction", 9).alias("fraction"), "n", "k", "threshold")
 
 
-def pick_threshold_fallback_full(spark: SparkSession, d: str) -> DataFrame:
-    return _pick_full(spark, d, True)
+def percentile_transfer(spark: SparkSession, d: str) -> DataFrame:
+    return _percentile(spark, d, RULES[:1]).drop("rule")
 
 
-def criteria_met_full(spark: SparkSession, d: str) -> DataFrame:
-    points = sweep.criteria_met(_curve_full(spark, d), 0.6, 50.0)
-    return points.groupBy("run_id", "rule").agg(F.count_if("met").alias("n_met"), F.count(F.lit(1)).alias("n_thresholds"))
+def percentile_transfer_full(spark: SparkSession, d: str) -> DataFrame:
+    return _percentile(spark, d, RULES)
 
 
-def percentile_transfer_full(spark: SparkSession, d: str) -> DataFrame:
-    """Per run and rule: the test threshold that flags the share that the picked one flags on tuning."""
-    rows = inputs.records(spark, d).where("units IS NOT NULL AND grid")
-    points = materialise(_pick_full(spark, d, True).select("run_id", "rule", "threshold"), "picked")
-    both = [sweep.percentile_transfer(rows.where("split = 'tuning'"), rows.where("split = 'test'"), points.where(F.col("rule") == r.name), "run_id").withColumn("rule", F.lit(r.name)) for r in RULES]
-    return both[0].unionByName(both[1]).select("run_id", "rule", F.round("fraction", 9).alias("fraction"), "n", "k", "threshold")
+def pooled_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Per configuration and rule: the curve of the test splits of all its forest runs by five folds, pooled, on the display grid."""
+    runs = table(spark, d, "runs").where("model = 'rf' AND scheme = '5fold'").select("run_id", "config")
+    rows = inputs.records(spark, d).where("split = 'test' AND grid AND units IS NOT NULL").join(runs, "run_id")
+    # a subject is in one fold's test split; where it is in several, every run's records count as a recording of their own
+    rows = materialise(rows.withColumn("recording", F.to_json(F.struct("run_id", "filename"))), "records")
+    listed = rows.select("config", "recording", "filename").distinct().join(inputs.files(spark, d).select("filename", "duration_sec"), "filename")
+    refs = rows.select("recording", "filename").distinct().join(inputs.intervals(spark, d), "filename").select("recording", "start_ms", "end_ms")
+    curve = sweep.state_curves(rows, refs, listed.select("recording", "duration_sec"), "config", "recording", sweep.display_units(), [GAP], RULES)
+    subjects = rows.groupBy("config").agg(F.count_distinct("subject").alias("n_subjects"))
+    return _rounded(curve.drop("merge_gap"), "hours", "sens", "fa_per_day").join(subjects, "config")
 
 
 def subject_rates(spark: SparkSession, d: str) -> DataFrame:
@@ -231,7 +250,7 @@ def per_subject(spark: SparkSession, d: str) -> DataFrame:
 
 
 def macro_micro_rates(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(macro_micro(subject_rates(spark, d), ["run_id"], "subject", 0.6, 50.0), "macro_sens", "micro_sens", "fa_per_day", "pct_met")
+    return _rounded(macro_micro(subject_rates(spark, d), ["run_id"], "subject", *CRITERIA["medication_titration"]), "macro_sens", "micro_sens", "fa_per_day", "pct_met")
 
 
 QUERIES = {
@@ -239,7 +258,7 @@ QUERIES = {
         grid_windows, dense_windows, schedule_union, window_label, near_zone_flag, interval_window_count, zone_false_alarms, threshold_positive, merge_gap_events, session_window_events,
         drop_short, split_long, events_incl_empty, contiguous_runs, run_length_comparison, kth_largest_threshold, fraction_flagged, score_rule_a, score_rule_b, fold_totals,
         always_positive_baseline, sweep_curve, pick_threshold, pick_threshold_fallback, criteria_met, percentile_transfer, per_subject, macro_micro_rates,
-        sweep_curve_full, pick_threshold_full, pick_threshold_fallback_full, criteria_met_full, percentile_transfer_full,
+        sweep_curve_full, pick_threshold_full, pick_threshold_fallback_full, criteria_met_full, percentile_transfer_full, pooled_curve,
     )
 }
 
@@ -272,26 +291,55 @@ subjects AS (SELECT s.run_id, s.subject, s.tp, s.fp, s.ref_true, h.hours, s.tp /
   FROM (SELECT run_id, regexp_extract(filename, '^([a-z]+[0-9]+)_', 1) AS subject, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(ref_true) AS BIGINT) AS ref_true
         FROM scored GROUP BY ALL) s JOIN subject_hours h USING (run_id, subject))"""
 
-_T = ", ".join(map(str, THRESHOLDS))
-_CURVE = f"""WITH {RECORDS},{FILES},{INTERVALS},
-rows_ AS (SELECT * FROM records WHERE split = 'tuning' AND grid AND units IS NOT NULL),
-grid_ AS (SELECT unnest([{_T}]) AS threshold),
-listed AS (SELECT DISTINCT r.run_id, g.threshold, r.filename, f.duration_sec FROM rows_ r JOIN files f USING (filename) CROSS JOIN grid_ g),
-refs AS (SELECT l.run_id, l.threshold, l.filename, i.start_ms, i.end_ms FROM listed l JOIN intervals i USING (filename)),
-pos AS (SELECT run_id, threshold, filename, start_ms, start_ms + 4000 AS end_ms FROM rows_ JOIN grid_ ON units >= threshold),
-{merged("pos", "isl", "run_id, threshold, filename", GAP)},{split("isl", "hyps", "run_id, threshold, filename", 300000)},
-{inputs.scored(scoring.ANY_HIT, ["run_id", "threshold", "filename"], "refs", "hyps", "listed")},{_HOURS},
-curve AS (SELECT s.run_id, s.threshold, tp, fp, ref_true, round(hours, 6) AS hours, round(tp / nullif(ref_true, 0), 6) AS sens, round(fp * 24 / nullif(hours, 0), 6) AS fa_per_day
-  FROM (SELECT run_id, threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(ref_true) AS BIGINT) AS ref_true FROM scored GROUP BY ALL) s JOIN hours USING (run_id))"""
 
 
-def _pick_sql(fallback: bool) -> str:
+def _curves_sql(rules: Sequence[scoring.Rule], thresholds: Sequence[int] = THRESHOLDS, split_name: str = "tuning", run: str = "run_id", file: str = "filename", base: str = "") -> str:
+    """Relation ``curve`` (run, rule, threshold, ...); ``base`` defines rows_ and listed_ otherwise."""
+    base = base or f"""rows_ AS (SELECT * FROM records WHERE split = '{split_name}' AND grid AND units IS NOT NULL),
+listed_ AS (SELECT DISTINCT r.run_id, r.filename, r.filename AS source, f.duration_sec FROM rows_ r JOIN files f USING (filename)),"""
+    one = lambda r: f"""SELECT s.{run}, '{r.name}' AS rule, s.threshold, tp, fp, ref_true, round(hours, 6) AS hours, round(tp / nullif(ref_true, 0), 6) AS sens, round(fp * 24 / nullif(hours, 0), 6) AS fa_per_day
+  FROM (SELECT {run}, threshold, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(ref_true) AS BIGINT) AS ref_true FROM scored_{r.name} GROUP BY ALL) s JOIN hours USING ({run})"""
+    keys = [run, "threshold", file]
+    scores = ",".join(inputs.scored(r, keys, "refs", "hyps", "listed", f"scored_{r.name}", f"{r.name}_") for r in rules)
+    return f"""WITH {RECORDS},{FILES},{INTERVALS},
+{base}
+grid_ AS (SELECT unnest([{", ".join(map(str, thresholds))}]) AS threshold),
+listed AS (SELECT l.{run}, g.threshold, l.{file}, l.source, l.duration_sec FROM listed_ l CROSS JOIN grid_ g),
+refs AS (SELECT l.{run}, l.threshold, l.{file}, i.start_ms, i.end_ms FROM listed l JOIN intervals i ON l.source = i.filename),
+pos AS (SELECT {run}, threshold, {file}, start_ms, start_ms + 4000 AS end_ms FROM rows_ JOIN grid_ ON units >= threshold),
+{merged("pos", "isl", f"{run}, threshold, {file}", GAP)},{split("isl", "hyps", f"{run}, threshold, {file}", 300000)},
+{scores},
+hours AS (SELECT {run}, count(*) * (4 / 3600.0) AS hours FROM rows_ GROUP BY {run}),
+curve AS ({" UNION ALL ".join(map(one, rules))})"""
+
+
+def _pick_sql(fallback: bool, rules: Sequence[scoring.Rule]) -> str:
     where = "" if fallback else "WHERE coalesce(fa_per_day <= 5.0, false)"
-    return f"""{_CURVE}, picked AS (SELECT *, coalesce(fa_per_day <= 5.0, false) AS ceiling_met FROM curve {where}
-  QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY coalesce(fa_per_day <= 5.0, false) DESC,
+    return f"""{_curves_sql(rules)}, picked AS (SELECT *, coalesce(fa_per_day <= 5.0, false) AS ceiling_met FROM curve {where}
+  QUALIFY row_number() OVER (PARTITION BY run_id, rule ORDER BY coalesce(fa_per_day <= 5.0, false) DESC,
     CASE WHEN coalesce(fa_per_day <= 5.0, false) THEN 0.0 ELSE fa_per_day END ASC NULLS LAST, sens DESC NULLS LAST, threshold) = 1)"""
 
 
+def _met_sql(rules: Sequence[scoring.Rule], keys: str) -> str:
+    return f"""{_curves_sql(rules)} SELECT {keys}, criterion, count(*) FILTER (coalesce(sens >= least AND fa_per_day <= most, false)) AS n_met, count(*) AS n_thresholds
+FROM curve CROSS JOIN (VALUES {", ".join(f"('{c}', {a}, {b})" for c, (a, b) in CRITERIA.items())}) c(criterion, least, most) GROUP BY {keys}, criterion"""
+
+
+def _moved_sql(rules: Sequence[scoring.Rule]) -> str:
+    """Relation ``moved`` (run_id, rule, fraction, n, k, threshold): the picked thresholds moved to the test split by percentile."""
+    return f"""{_pick_sql(True, rules)},
+share AS (SELECT r.run_id, p.rule, avg(CAST(r.units >= p.threshold AS INTEGER)) AS fraction FROM rows_ r JOIN picked p USING (run_id) GROUP BY r.run_id, p.rule),
+test AS (SELECT r.run_id, s.rule, r.units, s.fraction, count(*) OVER (PARTITION BY r.run_id, s.rule) AS n, row_number() OVER (PARTITION BY r.run_id, s.rule ORDER BY r.units DESC) AS i
+  FROM records r JOIN share s USING (run_id) WHERE r.split = 'test' AND r.grid AND r.units IS NOT NULL),
+k AS (SELECT *, greatest(1, least(n, CAST(round_even(fraction * n, 0) AS BIGINT))) AS k, max(units) OVER (PARTITION BY run_id, rule) AS top FROM test),
+moved AS (SELECT run_id, rule, round(fraction, 9) AS fraction, n, k, CASE WHEN fraction <= 0 THEN top + 1 ELSE units END AS threshold FROM k WHERE i = k)"""
+
+
+_POOLED = """pooled AS (SELECT run_id, config FROM runs WHERE model = 'rf' AND scheme = '5fold'),
+rows_ AS (SELECT p.config, r.run_id || '/' || r.filename AS recording, r.filename AS source, r.subject, r.start_ms, r.units FROM records r JOIN pooled p USING (run_id) WHERE r.split = 'test' AND r.grid AND r.units IS NOT NULL),
+listed_ AS (SELECT DISTINCT r.config, r.recording, r.source, f.duration_sec FROM rows_ r JOIN files f ON r.source = f.filename),"""
+_PICKED = "run_id, threshold, tp, fp, ref_true, sens, fa_per_day, ceiling_met"
+
 SQL = {
     "grid_windows": f"WITH {FILES}, {_GRID} SELECT filename, start_sample FROM grid",
     "dense_windows": f"WITH {FILES},{INTERVALS},{_DENSE} SELECT filename, start_sample FROM dense",
@@ -337,18 +385,20 @@ FROM (SELECT run_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS f
         f"SELECT * FROM ({_score_sql(rule, 0)} SELECT run_id, '{rule.name}' AS rule, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(ref_true) AS BIGINT) AS ref_true FROM scored GROUP BY run_id)"
         for rule in (scoring.ANY_HIT, scoring.COVER_70)
     ),
-    "sweep_curve": f"{_CURVE} SELECT * FROM curve",
-    "pick_threshold": f"{_pick_sql(False)} SELECT run_id, threshold, tp, fp, ref_true, sens, fa_per_day, ceiling_met FROM picked",
-    "pick_threshold_fallback": f"{_pick_sql(True)} SELECT run_id, threshold, tp, fp, ref_true, sens, fa_per_day, ceiling_met FROM picked",
-    "criteria_met": f"{_CURVE} SELECT run_id, count(*) FILTER (coalesce(sens >= 0.6 AND fa_per_day <= 50.0, false)) AS n_met, count(*) AS n_thresholds FROM curve GROUP BY run_id",
-    "percentile_transfer": f"""{_pick_sql(True)},
-share AS (SELECT r.run_id, avg(CAST(r.units >= p.threshold AS INTEGER)) AS fraction FROM rows_ r JOIN picked p USING (run_id) GROUP BY r.run_id),
-test AS (SELECT r.run_id, r.units, s.fraction, count(*) OVER (PARTITION BY r.run_id) AS n, row_number() OVER (PARTITION BY r.run_id ORDER BY r.units DESC) AS i
-  FROM records r JOIN share s USING (run_id) WHERE r.split = 'test' AND r.grid AND r.units IS NOT NULL),
-k AS (SELECT *, greatest(1, least(n, CAST(round_even(fraction * n, 0) AS BIGINT))) AS k, max(units) OVER (PARTITION BY run_id) AS top FROM test)
-SELECT run_id, round(fraction, 9) AS fraction, n, k, CASE WHEN fraction <= 0 THEN top + 1 ELSE units END AS threshold FROM k WHERE i = k""",
+    "sweep_curve": f"{_curves_sql(RULES[:1])} SELECT * EXCLUDE (rule) FROM curve",
+    "sweep_curve_full": f"{_curves_sql(RULES)} SELECT * FROM curve",
+    "pick_threshold": f"{_pick_sql(False, RULES[:1])} SELECT {_PICKED} FROM picked",
+    "pick_threshold_full": f"{_pick_sql(False, RULES)} SELECT rule, {_PICKED} FROM picked",
+    "pick_threshold_fallback": f"{_pick_sql(True, RULES[:1])} SELECT {_PICKED} FROM picked",
+    "pick_threshold_fallback_full": f"{_pick_sql(True, RULES)} SELECT rule, {_PICKED} FROM picked",
+    "criteria_met": _met_sql(RULES[:1], "run_id"),
+    "criteria_met_full": _met_sql(RULES, "run_id, rule"),
+    "percentile_transfer": f"{_moved_sql(RULES[:1])} SELECT * EXCLUDE (rule) FROM moved",
+    "percentile_transfer_full": f"{_moved_sql(RULES)} SELECT * FROM moved",
+    "pooled_curve": f"""{_curves_sql(RULES, sweep.display_units(), run="config", file="recording", base=_POOLED)}
+SELECT c.*, n_subjects FROM curve c JOIN (SELECT config, count(DISTINCT subject) AS n_subjects FROM rows_ GROUP BY config) s USING (config)""",
     "per_subject": f"{_SUBJECTS} SELECT run_id, subject, tp, fp, ref_true, round(hours, 6) AS hours, round(sens, 6) AS sens, round(fa_per_day, 6) AS fa_per_day FROM subjects",
     "macro_micro_rates": f"""{_SUBJECTS} SELECT run_id, count(DISTINCT subject) AS n_subjects, round(avg(sens), 6) AS macro_sens, round(sum(tp) / nullif(sum(ref_true), 0), 6) AS micro_sens,
-  round(sum(fp) * 24 / nullif(sum(hours), 0), 6) AS fa_per_day, count(*) FILTER (coalesce(sens >= 0.6 AND fa_per_day <= 50.0, false)) AS n_met,
-  round(100 * (count(*) FILTER (coalesce(sens >= 0.6 AND fa_per_day <= 50.0, false)) / count(DISTINCT subject)), 6) AS pct_met FROM subjects GROUP BY run_id""",
+  round(sum(fp) * 24 / nullif(sum(hours), 0), 6) AS fa_per_day, count(*) FILTER (coalesce(sens >= 0.6 AND fa_per_day <= 5.0, false)) AS n_met,
+  round(100 * (count(*) FILTER (coalesce(sens >= 0.6 AND fa_per_day <= 5.0, false)) / count(DISTINCT subject)), 6) AS pct_met FROM subjects GROUP BY run_id""",
 }

@@ -12,16 +12,15 @@ from quillwave.operators.metrics import _by_score
 from quillwave.operators.windows import overlap_join, overlap_ms
 from quillwave.plans import inputs, q_events
 from quillwave.plans.inputs import FILES, INTERVALS, RECORDS, merged, split
-from quillwave.plans.q_events import AT, GAP, RUN_FILE
+from quillwave.plans.q_events import AT, CRITERIA, GAP, RULES, RUN_FILE
 from quillwave.semantics import ratio
 from quillwave.session import materialise, scratch_path
 from quillwave.sources import sinks
 from quillwave.tables import table
 
 GAPS, LEASTS = (0, 10_000, 28_000), (0, 6000)
-#: The settings of the whole sensitivity analysis, and least sensitivity and most false alarms a day by criterion.
+#: The settings of the whole sensitivity analysis.
 GAPS_FULL, LEASTS_FULL = (0, 4000, 8000, 12_000, 16_000, 20_000, 28_000), (0, 1000, 2000)
-CRITERIA = {"medication_titration": (0.6, 5.0), "realtime_alert": (0.8, 2.0)}
 
 
 def _absolute(spark: SparkSession, d: str, picked: DataFrame, rule: scoring.Rule) -> DataFrame:
@@ -33,7 +32,7 @@ def _absolute(spark: SparkSession, d: str, picked: DataFrame, rule: scoring.Rule
     has = picked.withColumn("_t", F.col("threshold"))
     rated = scoring.rates(totals.join(hours, "run_id").join(has, "run_id", "left"))
     found = F.col("threshold").isNotNull()
-    out = sweep.criteria_met(rated, 0.6, 50.0)
+    out = sweep.criteria_met(rated, *CRITERIA["medication_titration"])
     return out.select("run_id", "threshold", *[F.when(found, F.col(c)).alias(c) for c in ("tp", "fp")], "ref_true", *[F.round(F.when(found, F.col(c)), 6).alias(c) for c in ("sens", "fa_per_day")], (F.col("met") & found).alias("met"))
 
 
@@ -45,7 +44,7 @@ def absolute_transfer(spark: SparkSession, d: str) -> DataFrame:
 def absolute_transfer_full(spark: SparkSession, d: str) -> DataFrame:
     """The same for thresholds picked from all 279, under both rules."""
     picked = materialise(q_events.pick_threshold_full(spark, d).select("run_id", "rule", "threshold"), "picked")
-    both = [_absolute(spark, d, picked.where(F.col("rule") == r.name).drop("rule"), r).withColumn("rule", F.lit(r.name)) for r in q_events.RULES]
+    both = [_absolute(spark, d, picked.where(F.col("rule") == r.name).drop("rule"), r).withColumn("rule", F.lit(r.name)) for r in RULES]
     return both[0].unionByName(both[1])
 
 
@@ -74,7 +73,7 @@ def postprocessing_sensitivity_full(spark: SparkSession, d: str) -> DataFrame:
     grid = inputs.records(spark, d).where("units IS NOT NULL AND grid")
     tuning = materialise(grid.where("split = 'tuning'"), "records")
     rows, refs, listed = q_events._scorable(spark, d, "test")
-    curve = sweep.state_curves(tuning, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", sweep.threshold_units(), GAPS_FULL, q_events.RULES)
+    curve = sweep.state_curves(tuning, inputs.intervals(spark, d), inputs.files(spark, d), "run_id", "filename", sweep.threshold_units(), GAPS_FULL, RULES)
     curve = materialise(q_events._rounded(curve, "hours", "sens", "fa_per_day"), "curve")
     setting = ["run_id", "merge_gap", "rule"]
     picks = [sweep.pick_threshold(curve, setting, most, True).select(*setting, F.lit(name).alias("criterion"), F.lit(least).alias("least"), F.lit(most).alias("most"), F.col("threshold").alias("picked")) for name, (least, most) in CRITERIA.items()]
@@ -86,7 +85,7 @@ def postprocessing_sensitivity_full(spark: SparkSession, d: str) -> DataFrame:
     hours = rows.groupBy("run_id", subject).agg((F.count(F.lit(1)) * F.lit(4 / 3600)).alias("hours"))
     keys = [*RUN_FILE, "merge_gap", "threshold"]
     parts = []
-    for rule in q_events.RULES:
+    for rule in RULES:
         points = moved.where(F.col("rule") == rule.name).select("run_id", "merge_gap", "threshold").distinct()
         spans = events.positives(rows.join(points, "run_id"), "threshold", keys)
         hyps = events.split_long(events.merge_spans(spans, keys, "merge_gap").drop("n"))
@@ -113,8 +112,8 @@ def threshold_for_sensitivity(spark: SparkSession, d: str) -> DataFrame:
 def detection_by_length(spark: SparkSession, d: str) -> DataFrame:
     """Share of short and of long labelled events that a flagged window overlaps, per run."""
     rows = inputs.records(spark, d).where("units IS NOT NULL AND split = 'test'")
-    events_of = rows.select(*RUN_FILE).distinct().join(inputs.intervals(spark, d), "filename").withColumn("_k", F.concat_ws("|", *RUN_FILE))
-    flagged = events.positives(rows, AT, RUN_FILE).withColumn("_k", F.concat_ws("|", *RUN_FILE)).select("_k", "start_ms", "end_ms")
+    events_of = rows.select(*RUN_FILE).distinct().join(inputs.intervals(spark, d), "filename").withColumn("_k", F.to_json(F.struct(*RUN_FILE)))
+    flagged = events.positives(rows, AT, RUN_FILE).withColumn("_k", F.to_json(F.struct(*RUN_FILE))).select("_k", "start_ms", "end_ms")
     hit = overlap_join(events_of, flagged, "_k").where(overlap_ms() > 0).select("_k", "idx").distinct().withColumn("hit", F.lit(1))
     out = events_of.join(hit, ["_k", "idx"], "left").withColumn("length", F.when(F.col("end_ms") - F.col("start_ms") < 30_000, "short").otherwise("long"))
     return out.groupBy("run_id", "length").agg(F.count(F.lit(1)).alias("n_events"), F.count("hit").alias("n_found"))
@@ -166,20 +165,34 @@ pos AS (SELECT run_id, filename, start_ms, start_ms + 4000 AS end_ms FROM rows_
 _SETTINGS = f"settings AS (SELECT g.g AS merge_gap, m.m AS min_duration FROM (SELECT unnest({list(GAPS)}) AS g) g CROSS JOIN (SELECT unnest({list(LEASTS)}) AS m) m)"
 _EVERY_GAP = ",".join(merged("pos", f"isl{g}", "run_id, filename", g) for g in GAPS)
 _UNION = " UNION ALL ".join(f"SELECT *, {g} AS merge_gap FROM isl{g}" for g in GAPS)
-_KEYS4 = [*RUN_FILE, "merge_gap", "min_duration"]
 
-SQL = {
-    "absolute_transfer": q_events._pick_sql(False) + f""",
+
+def _transferred_sql(picks: str, points: str, rules) -> str:
+    """Relation ``transferred``: test splits scored with the thresholds of relation ``points`` (run_id, rule, threshold)."""
+    steps, unions = [], []
+    for r in rules:
+        t = f"t_{r.name}_"
+        steps.append(f"""{t}pos AS (SELECT r.run_id, r.filename, r.start_ms, r.start_ms + 4000 AS end_ms FROM trows r JOIN {points} p ON r.run_id = p.run_id AND p.rule = '{r.name}' AND r.units >= p.threshold),
+{merged(f"{t}pos", f"{t}isl", "run_id, filename", GAP)},{split(f"{t}isl", f"{t}hyps", "run_id, filename", 300000)},{inputs.scored(r, RUN_FILE, "trefs", f"{t}hyps", "tlisted", f"{t}scored", t)}""")
+        unions.append(f"""SELECT s.run_id, '{r.name}' AS rule, p.threshold, s.tp, s.fp, s.ref_true, s.tp / nullif(s.ref_true, 0) AS sens, s.fp * 24 / nullif(h.hours, 0) AS fa
+  FROM (SELECT run_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(ref_true) AS BIGINT) AS ref_true FROM {t}scored GROUP BY run_id) s JOIN thours h USING (run_id)
+  LEFT JOIN (SELECT * FROM {points} WHERE rule = '{r.name}') p ON s.run_id = p.run_id""")
+    return f"""{picks},
 trows AS (SELECT * FROM records WHERE split = 'test' AND grid AND units IS NOT NULL),
 tlisted AS (SELECT DISTINCT r.run_id, r.filename, f.duration_sec FROM trows r JOIN files f USING (filename)),
 trefs AS (SELECT l.run_id, l.filename, i.start_ms, i.end_ms FROM tlisted l JOIN intervals i USING (filename)),
-tpos AS (SELECT r.run_id, r.filename, r.start_ms, r.start_ms + 4000 AS end_ms FROM trows r JOIN picked p ON r.run_id = p.run_id AND r.units >= p.threshold),{merged("tpos", "tisl", "run_id, filename", GAP)},{split("tisl", "thyps", "run_id, filename", 300000)},
-{inputs.scored(scoring.ANY_HIT, RUN_FILE, "trefs", "thyps", "tlisted", "tscored").replace("ref_", "tref_").replace("treftrue", "ref_true").replace("tref_true", "ref_true").replace("hyp_", "thyp_").replace("wide ", "twide ").replace("found ", "tfound ").replace("alarms ", "talarms ")},
 thours AS (SELECT run_id, count(*) * (4 / 3600.0) AS hours FROM trows GROUP BY run_id),
-sums AS (SELECT s.run_id, p.threshold, s.tp, s.fp, s.ref_true, s.tp / nullif(s.ref_true, 0) AS sens, s.fp * 24 / nullif(h.hours, 0) AS fa
-  FROM (SELECT run_id, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(ref_true) AS BIGINT) AS ref_true FROM tscored GROUP BY run_id) s JOIN thours h USING (run_id) LEFT JOIN picked p ON s.run_id = p.run_id)
-SELECT run_id, threshold, CASE WHEN threshold IS NOT NULL THEN tp END AS tp, CASE WHEN threshold IS NOT NULL THEN fp END AS fp, ref_true, CASE WHEN threshold IS NOT NULL THEN round(sens, 6) END AS sens,
-  CASE WHEN threshold IS NOT NULL THEN round(fa, 6) END AS fa_per_day, coalesce(sens >= 0.6 AND fa <= 50.0, false) AND threshold IS NOT NULL AS met FROM sums""",
+{", ".join(steps)},
+sums AS ({" UNION ALL ".join(unions)}),
+transferred AS (SELECT run_id, rule, threshold, CASE WHEN threshold IS NOT NULL THEN tp END AS tp, CASE WHEN threshold IS NOT NULL THEN fp END AS fp, ref_true, CASE WHEN threshold IS NOT NULL THEN round(sens, 6) END AS sens,
+  CASE WHEN threshold IS NOT NULL THEN round(fa, 6) END AS fa_per_day, coalesce(sens >= 0.6 AND fa <= 5.0, false) AND threshold IS NOT NULL AS met FROM sums)"""
+
+
+_KEYS4 = [*RUN_FILE, "merge_gap", "min_duration"]
+
+SQL = {
+    "absolute_transfer": f"{_transferred_sql(q_events._pick_sql(False, RULES[:1]), 'picked', RULES[:1])} SELECT * EXCLUDE (rule) FROM transferred",
+    "absolute_transfer_full": f"{_transferred_sql(q_events._pick_sql(False, RULES), 'picked', RULES)} SELECT * FROM transferred",
     "postprocessing_sensitivity": f"""{_BASE},{_SETTINGS},{_EVERY_GAP},
 every_gap AS ({_UNION}),
 kept AS (SELECT e.run_id, e.filename, e.merge_gap, s.min_duration, e.start_ms, e.end_ms FROM every_gap e JOIN settings s USING (merge_gap) WHERE e.end_ms - e.start_ms >= s.min_duration),
