@@ -140,3 +140,13 @@ def band(psd: Column, low: float, high: float, resolution: float) -> Column:
     """The bins of a spectrum whose frequency is in [low, high)."""
     first, end = int(-(-low // resolution)), int(-(-high // resolution))
     return F.slice(psd, first + 1, end - first)
+
+
+def integral(y: Column, size: int, step: float) -> Column:
+    """Simpson's rule over an array of ``size`` values, as the sum of the values by their weights."""
+    import numpy as np
+
+    from quillwave.functions.kernels import simpson
+
+    weights = F.array(*[F.lit(simpson(unit, step)) for unit in np.eye(size)])
+    return F.when(F.size(y) == size, F.aggregate(F.zip_with(y, weights, lambda v, w: v * w), F.lit(0.0), lambda s, v: s + v))

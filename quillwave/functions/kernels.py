@@ -20,29 +20,52 @@ def _entropy(p: np.ndarray) -> float:
     return float(-(p * np.log2(p)).sum())
 
 
+#: Rows of the distance matrix that are held at once.
+BLOCK_ROWS = 256
+
+
 def pair_entropies(x: np.ndarray, bins: int = 500) -> tuple[float, float, float]:
-    """Approximate, fuzzy and distribution entropy from the pairwise distances, row by row."""
+    """Approximate, fuzzy and distribution entropy from the pairwise distances, by blocks of rows."""
     n, r = len(x), 0.2 * x.std()
-    phi2 = phi3 = w2 = w3 = 0.0
-    e2 = np.stack([x[:-1], x[1:]], 1)
-    seen = []
-    for i in range(n - 1):
-        d2 = np.abs(e2 - e2[i]).max(1)
-        d3 = np.maximum(d2[:-1], np.abs(x[2:] - x[i + 2])) if i < n - 2 else None
-        later = d2[i + 1 :]
-        seen.append(later)
-        phi2 += np.log((d2 <= r).sum() / (n - 1)) if r > 0 else 0.0
-        if r > 0:
-            w2 += np.exp(-np.log(2) * (later / r) ** 2).sum()
-        if d3 is not None and r > 0:
-            phi3 += np.log((d3 <= r).sum() / (n - 2))
-            w3 += np.exp(-np.log(2) * (d3[i + 1 :] / r) ** 2).sum()
-    d = np.concatenate(seen)
-    pairs2, pairs3 = (n - 1) * (n - 2) / 2, (n - 2) * (n - 3) / 2
-    approximate = phi2 / (n - 1) - phi3 / (n - 2) if r > 0 else 0.0
-    fuzzy = float(-np.log((w3 / pairs3) / (w2 / pairs2))) if w2 > 0 and w3 > 0 else 0.0
-    distribution = _entropy(np.histogram(d, bins)[0] / len(d)) / np.log2(bins) if d.max() > d.min() else 0.0
-    return float(approximate), fuzzy, distribution
+    n2, n3 = n - 1, n - 2
+    near2, near3 = np.zeros(n2), np.zeros(n3)
+    w2 = w3 = 0.0
+    low, high, later = np.inf, -np.inf, []
+    def pairs(d: np.ndarray, near: np.ndarray, a: int, b: int) -> float:
+        """Counts the near pairs of rows a to b with themselves and all later ones; the sum of the fuzzy weights, either way."""
+        close, k = d <= r, b - a
+        near[a:b] += close.sum(1)
+        near[b:] += close[:, k:].sum(0)
+        if not r > 0:
+            return 0.0
+        # 2 ** -(d / r)**2; those of a row with itself weigh 1
+        w = np.exp2(-np.square(d * (1 / r)))
+        return w[:, :k].sum() - k + 2 * w[:, k:].sum()
+
+    for a in range(0, n2, BLOCK_ROWS):
+        b = min(a + BLOCK_ROWS, n2)
+        d = np.abs(x[a : b + 2, None] - x[None, a:])  # two rows and columns more than the embeddings start
+        d2 = np.maximum(d[: b - a, :-1], d[1 : b - a + 1, 1:])
+        c = min(b, n3)
+        d3 = np.maximum(d2[: c - a, :-1], d[2 : c - a + 2, 2:])
+        w2 += pairs(d2, near2, a, b)
+        w3 += pairs(d3, near3, a, c)
+        k = b - a
+        upper = np.concatenate([d2[:, :k][np.triu_indices(k, 1)], d2[:, k:].ravel()])
+        if len(upper):
+            low, high = min(low, upper.min()), max(high, upper.max())
+            later.append(upper)
+    if r > 0:
+        approximate = float(np.log(near2 / n2).mean() - np.log(near3 / n3).mean())
+        fuzzy = float(-np.log((w3 / (n3 * (n3 - 1))) / (w2 / (n2 * (n2 - 1))))) if w2 > 0 and w3 > 0 else 0.0
+    else:
+        approximate = fuzzy = 0.0
+    if not high > low:
+        return approximate, fuzzy, 0.0
+    counts = np.zeros(bins, np.int64)
+    for d in later:
+        counts += np.bincount(np.minimum(((d - low) * (bins / (high - low))).astype(np.int64), bins - 1), minlength=bins)
+    return approximate, fuzzy, _entropy(counts / counts.sum()) / np.log2(bins)
 
 
 def entropy_profile(x: np.ndarray) -> list[float]:
@@ -78,6 +101,10 @@ def svd_entropy(x: np.ndarray, order: int = 3) -> float:
     return _entropy(s / s.sum()) if s.sum() > 0 else 0.0
 
 
+def value_entropy(x: np.ndarray) -> float:
+    return _entropy(np.unique(x, return_counts=True)[1] / len(x))
+
+
 def phrases(x: np.ndarray) -> int:
     """The number of phrases (1976) of the sequence of values cut to unsigned whole numbers."""
     symbols = x.astype(np.int64).astype(np.uint32).astype("<u4").tobytes()
@@ -121,22 +148,44 @@ def detrended_fluctuation(x: np.ndarray) -> float:
     return float(np.polyfit(np.log(sizes), np.log(spread), 1)[0])
 
 
+def simplification(y: np.ndarray, starts: np.ndarray, least: float = 0.0) -> np.ndarray:
+    """Up to which tolerance line simplification by vertical distance keeps each sample of the series that begin at ``starts``.
+
+    A stretch is cut at the sample farthest from the line between its ends,
+    whatever the tolerance; so one pass over the stretches of all series, level
+    by level, tells for every sample the least distance on the way down to it.
+    Stretches that aren't above ``least`` are left.
+    """
+    kept = np.zeros(len(y))
+    a, b = starts.astype(np.int64), np.append(starts[1:], len(y)).astype(np.int64) - 1
+    kept[a] = kept[b] = np.inf
+    limit = np.full(len(a), np.inf)
+    while True:
+        wide = b - a > 1
+        a, b, limit = a[wide], b[wide], limit[wide]
+        if not len(a):
+            return kept
+        inner = b - a - 1
+        first = np.cumsum(inner) - inner
+        at = np.arange(inner.sum()) + np.repeat(a + 1 - first, inner)
+        slope = (y[b] - y[a]) / (b - a)
+        gap = np.abs(y[at] - np.repeat(y[a], inner) - np.repeat(slope, inner) * (at - np.repeat(a, inner)))
+        most = np.maximum.reduceat(gap, first)
+        cut = np.minimum.reduceat(np.where(gap == np.repeat(most, inner), at, len(y)), first)
+        limit = np.minimum(limit, most)
+        kept[cut] = limit
+        more = limit > least
+        a, b, limit = np.concatenate([a[more], cut[more]]), np.concatenate([cut[more], b[more]]), np.concatenate([limit[more]] * 2)
+
+
+def sign_changes_of(x: np.ndarray) -> int:
+    sign = x >= 0
+    return int((sign[1:] != sign[:-1]).sum())
+
+
 def simplified_crossings(x: np.ndarray, tolerance: float) -> int:
     """Sign changes of the samples that line simplification by vertical distance keeps."""
-    keep, todo = np.zeros(len(x), bool), [(0, len(x) - 1)]
-    keep[[0, -1]] = True
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        line = x[a] + (x[b] - x[a]) * np.arange(1, b - a) / (b - a)
-        gap = np.abs(x[a + 1 : b] - line)
-        i = int(gap.argmax())
-        if gap[i] > tolerance:
-            keep[a + 1 + i] = True
-            todo += [(a, a + 1 + i), (a + 1 + i, b)]
-    sign = np.where(x[keep] >= 0, 1, -1)
-    return int((sign[1:] != sign[:-1]).sum())
+    return sign_changes_of(x[simplification(x, np.zeros(1, np.int64), tolerance) > tolerance])
 
 
 def welch(x: np.ndarray, rate: float, segment: int) -> np.ndarray:
@@ -172,8 +221,8 @@ def _per_window(f: Callable[[np.ndarray], list[float]], least: int) -> Column:
 
 
 def entropies(x: Column) -> Column:
-    """[approximate, fuzzy, distribution, permutation, singular value]"""
-    return _per_window(lambda w: [*pair_entropies(w), permutation_entropy(w), svd_entropy(w)], 8)(x)
+    """[approximate, fuzzy, distribution, permutation, singular value, of exact values]"""
+    return _per_window(lambda w: [*pair_entropies(w), permutation_entropy(w), svd_entropy(w), value_entropy(w)], 8)(x)
 
 
 def profiles(x: Column) -> Column:
@@ -187,8 +236,29 @@ def complexities(x: Column) -> Column:
 
 
 def crossings(x: Column, tolerances: tuple[float, ...]) -> Column:
-    """Sign changes of the centred window at each tolerance."""
-    return _per_window(lambda w: [simplified_crossings(w - w.mean(), t) for t in tolerances], 2)(x)
+    """Sign changes of the centred window at each tolerance; all windows of a batch are simplified together."""
+
+    def run(windows: pd.Series) -> pd.Series:
+        series = [None if w is None else np.asarray(w, float) for w in windows]
+        good = [i for i, w in enumerate(series) if w is not None and len(w) > 1 and np.isfinite(w).all()]
+        out: list = [None] * len(series)
+        if good:
+            centred = [series[i] - series[i].mean() for i in good]
+            ends = np.cumsum([len(w) for w in centred])
+            starts = ends - [len(w) for w in centred]
+            y = np.concatenate(centred)
+            kept, positive = simplification(y, starts, min(tolerances)), y >= 0
+            owner = np.repeat(np.arange(len(good)), ends - starts)
+            counts = []
+            for t in tolerances:
+                at = np.flatnonzero(kept > t)
+                changes = (positive[at[1:]] != positive[at[:-1]]) & (owner[at[1:]] == owner[at[:-1]])
+                counts.append(np.bincount(owner[at[1:]][changes], minlength=len(good)))
+            for i, row in zip(good, np.stack(counts, 1).astype(float).tolist(), strict=True):
+                out[i] = row
+        return pd.Series(out)
+
+    return F.pandas_udf(run, "array<double>")(x)
 
 
 def power_density(x: Column, rate: float, segment: int) -> Column:

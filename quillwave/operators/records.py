@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.semantics import millis, normal, prob_units
@@ -41,3 +41,17 @@ def prediction_records(predictions: DataFrame, extra: bool = False) -> DataFrame
         columns |= {"subject": normal("subject_id"), "grid": F.col("on_uniform_grid"), "label": F.col("label").cast("int")}
     rows = predictions.select(*[c.alias(k) for k, c in columns.items()])
     return latest(rows, ["run_id", "filename", "start_ms"], ["written_at"], values)
+
+
+def positions(rows: DataFrame, keys: list[str], order: list[str], block: Column, name: str = "pos") -> DataFrame:
+    """``rows`` numbered from 0 within each key, in ``order``.
+
+    ``block`` is a coarse form of the order, the same or growing along it.  Rows
+    are counted per key and block first and numbered within a block on top of
+    the counts before it, so that a key with a third of all rows is no task.
+    """
+    cut = rows.withColumn("_block", block)
+    counts = cut.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*keys, "_block", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_block")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) - 1
+    return cut.join(before, [*keys, "_block"]).withColumn(name, F.col("_before") + inside).drop("_block", "_before")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwave.functions import arrays as A
-from quillwave.functions import kernels
+from quillwave.functions import contract, kernels
 from quillwave.operators import learn
+from quillwave.operators.records import positions
 from quillwave.plans.q_catalog import FEATURES, _features
+from quillwave.session import materialise, spread
 from quillwave.tables import table
 
 #: Samples in a window of the series, their nominal rate and the spectrum's segment.
 LENGTH, RATE, SEGMENT = 256, 256.0, 128
-# The frequency bands, in Hz.
-BANDS = {"alpha": (8, 13), "beta": (13, 30), "delta": (1, 4), "theta": (4, 8), "other": (30, 128)}
+#: Samples in a recording at most: over an hour at the nominal rate.
+LONGEST = 1 << 20
+BANDS = contract.BANDS
+# Names of the first channels.
+CHANNELS = ["fp1_f7", "f7_t7", "t7_p7", "p7_o1", "fp1_f3", "f3_c3", "c3_p3"]
 
 
 def _x(spark: SparkSession, d: str) -> DataFrame:
@@ -51,37 +56,72 @@ def feat_fractal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feat_entropy_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = _x(spark, d).select("vec_id", kernels.entropies(F.col("x")).alias("e"))
+    e = spread(_x(spark, d)).select("vec_id", kernels.entropies(F.col("x")).alias("e"))
     return _rounded(e, "vec_id", {n: F.get("e", i) for i, n in enumerate(["approximate", "fuzzy", "distribution", "permutation", "singular_value"])})
 
 
 def feat_entropy_profile(spark: SparkSession, d: str) -> DataFrame:
     """Statistics of the sample entropy profile, the optional features."""
-    e = _x(spark, d).select("vec_id", kernels.profiles(F.col("x")).alias("e"))
+    e = spread(_x(spark, d)).select("vec_id", kernels.profiles(F.col("x")).alias("e"))
     names = ["total", "average", "maximum", "minimum", "median", "standardDeviation", "variance", "kurtosis", "skewness"]
     return _rounded(e, "vec_id", {n: F.get("e", i) for i, n in enumerate(names)})
 
 
 def feat_complexity(spark: SparkSession, d: str) -> DataFrame:
     scaled = F.transform("x", lambda v: F.round(v * 100))
-    e = _x(spark, d).select("vec_id", kernels.complexities(scaled).alias("e"))
+    e = spread(_x(spark, d)).select("vec_id", kernels.complexities(scaled).alias("e"))
     return _rounded(e, "vec_id", {n: F.get("e", i) for i, n in enumerate(["phrases", "higuchi", "fluctuation"])})
 
 
-def whole_series(spark: SparkSession, d: str) -> DataFrame:
-    """(file, s): each supplier's prices in line order as one series.
+def _samples(spark: SparkSession, d: str, keys: dict[str, Column]) -> DataFrame:
+    """(keys, pos, v): prices in line order, numbered within each key; no key is a task."""
+    rows = table(spark, d, "lineitem").select(*[c.alias(k) for k, c in keys.items()], "l_orderkey", "l_linenumber", (F.col("l_extendedprice").cast("double") / 100).alias("v"))
+    return positions(rows, list(keys), ["l_orderkey", "l_linenumber", "v"], F.floor(F.col("l_orderkey") / 65_536)).drop("l_orderkey", "l_linenumber")
+
+
+def _cut(samples: DataFrame, keys: list[str], length: int) -> DataFrame:
+    """(keys, i, x): stretches of ``length`` samples, the last one of a key may be shorter."""
+    stretch = samples.groupBy(*keys, F.floor(F.col("pos") / length).cast("int").alias("i"))
+    return stretch.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("x"))
 
-    A supplier has some 600 lines at every scale, so a series is a bounded group.
-    """
-    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice").alias("p"))
-    return rows.groupBy("file").agg(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["l_extendedprice"] / 100).alias("s"))
+
+def whole_series(spark: SparkSession, d: str) -> DataFrame:
+    """(file, part, s): each supplier's prices in line order as a recording; one longer than ``LONGEST`` is several."""
+    return _cut(_samples(spark, d, {"file": F.col("l_suppkey")}), ["file"], LONGEST).withColumnsRenamed({"i": "part", "x": "s"})
 
 
 def series_windows(spark: SparkSession, d: str) -> DataFrame:
     """(file, start, x): the series cut into whole windows."""
-    series = whole_series(spark, d)
-    whole = series.where(F.size("s") >= LENGTH).withColumn("start", F.explode(F.sequence(F.lit(0), F.size("s") - LENGTH, F.lit(LENGTH))))
-    return whole.select("file", "start", F.slice("s", F.col("start") + 1, F.lit(LENGTH)).alias("x"))
+    cut = _cut(_samples(spark, d, {"file": F.col("l_suppkey")}), ["file"], LENGTH).where(F.size("x") == LENGTH)
+    return cut.select("file", (F.col("i") * LENGTH).alias("start"), "x")
+
+
+def channel_windows(spark: SparkSession, d: str) -> DataFrame:
+    """(recording, i, channel, x): windows of recordings with a channel per line number; x is NULL where a channel doesn't reach.
+
+    A recording is a group of suppliers; channels with fewer samples lack the later windows.
+    """
+    keys = {"recording": F.floor(F.col("l_suppkey") / 20).cast("int"), "line": F.col("l_linenumber").cast("int")}
+    rows = table(spark, d, "lineitem").select(*[c.alias(k) for k, c in keys.items()], "l_orderkey", (F.col("l_extendedprice").cast("double") / 100 - 300).alias("v"))
+    samples = positions(rows, list(keys), ["l_orderkey", "v"], F.floor(F.col("l_orderkey") / 65_536))
+    cut = materialise(_cut(samples, list(keys), contract.WINDOW).where(F.size("x") == contract.WINDOW), "windows")
+    every = cut.select("recording", "i").distinct().withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(len(CHANNELS)))))
+    name = F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), F.col("line"))
+    return every.join(cut, [*keys, "i"], "left").select("recording", "i", name.alias("channel"), "x")
+
+
+def feature_contract(spark: SparkSession, d: str) -> DataFrame:
+    """All 89 features of every channel's window, by name; NULL where the channel is missing."""
+    found = contract.with_features(spread(channel_windows(spark, d)), "x")
+    return found.select("recording", "i", "channel", *[F.round(c, 6).alias(c) for c in contract.names()])
+
+
+def feature_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One record per window with a column for each channel and statistic."""
+    x = F.col("x")
+    values = {"maximum": F.array_max(x), "minimum": F.array_min(x), "mean": A.mean(x), "meanAbsoluteValue": A.mean_absolute(x), "numberOfZeroCrossing": A.sign_changes(x)}
+    long = channel_windows(spark, d).select("recording", "i", "channel", *[F.when(x.isNotNull(), F.round(c, 6)).alias(k) for k, c in values.items()])
+    return contract.wide(long, ["recording", "i"], "channel", CHANNELS, list(values))
 
 
 def feat_spectrum(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +131,7 @@ def feat_spectrum(spark: SparkSession, d: str) -> DataFrame:
     out = {f"fd_{k}": c for k, c in A.moments(F.col("p")).items()} | {"fd_entropy": A.spectral_entropy(F.col("p"))}
     for name, (low, high) in BANDS.items():
         part = A.band(F.col("p"), low, high, step)
-        out |= {f"fd_mean_{name}": A.mean(part), f"fd_maximum_{name}": F.array_max(part), f"fd_power_{name}": F.get(kernels.band_power(part, step), 0)}
+        out |= {f"fd_mean_{name}": A.mean(part), f"fd_maximum_{name}": F.array_max(part), f"fd_power_{name}": A.integral(part, int(-(-high // step)) - int(-(-low // step)), step)}
     return p.select("file", "start", *[F.round(c, 6).alias(k) for k, c in out.items()])
 
 
@@ -114,15 +154,15 @@ def filtered_series(spark: SparkSession, d: str) -> DataFrame:
         sections = np.concatenate([bandpass_sections(0.5, 40.0, RATE), notch_section(60.0, 30.0, RATE)])
         for b in batches:
             rows = []
-            for file, s in zip(b["file"], b["s"], strict=True):
+            for file, part, s in zip(b["file"], b["part"], b["s"], strict=True):
                 x = np.asarray(s, float)
                 y = zero_phase(sections, x)
                 for i in range(0, len(x), LENGTH):
                     p, q = x[i : i + LENGTH], y[i : i + LENGTH]
-                    rows.append((file, i, len(p), float(p.var()), float(q.var()), float(q.mean())))
+                    rows.append((file, part * LONGEST + i, len(p), float(p.var()), float(q.var()), float(q.mean())))
             yield pd.DataFrame(rows, columns=["file", "start", "n_samples", "before", "after", "mean_after"])
 
-    out = whole_series(spark, d).mapInPandas(run, "file long, start int, n_samples int, before double, after double, mean_after double")
+    out = whole_series(spark, d).mapInPandas(run, "file long, start long, n_samples int, before double, after double, mean_after double")
     return out.select("file", "start", "n_samples", *[F.round(c, 6).alias(c) for c in ("before", "after", "mean_after")])
 
 
@@ -140,9 +180,10 @@ def edf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 
         for b in batches:
             full = [np.pad(np.asarray(s, float), (0, -len(s) % 64), "edge") for s in b["s"]]
-            yield pd.DataFrame({"path": [f"{f}.edf" for f in b["file"]], "content": [edf.encode({"FP1-F7": x, "F7-T7": -x}, 64) for x in full], "x": b["s"]})
+            yield pd.DataFrame({"path": [f"{f}-{i}.edf" if i else f"{f}.edf" for f, i in zip(b["file"], b["part"], strict=True)], "content": [edf.encode({"FP1-F7": x, "F7-T7": -x}, 64) for x in full], "x": b["s"]})
 
-    files = whole_series(spark, d).mapInPandas(write, "path string, content binary, x array<double>")
+    # encoded once: headers, samples and the comparison read the same files
+    files = materialise(whole_series(spark, d).mapInPandas(write, "path string, content binary, x array<double>"), "recordings")
     heads = edf.headers(files).select("path", F.array_join("labels", ";").alias("labels"), "duration_sec", F.get("rates", 0).alias("rate"))
     samples = edf.signals(files).where("channel = 'FP1-F7'").select("path", F.col("samples").alias("_s"))
     back = files.join(samples, "path").withColumn("samples", F.slice("_s", F.lit(1), F.size("x")))
@@ -161,11 +202,17 @@ def model_scores(spark: SparkSession, d: str) -> DataFrame:
     return learn.held_out_auc(_features(spark, d).where("subject IS NOT NULL"), FEATURES, "label", "subject")
 
 
-QUERIES = {q.__name__: q for q in (feat_moments, feat_linear, feat_entropy_exact, feat_hjorth, feat_fractal, feat_entropy_pairs, feat_entropy_profile, feat_complexity, feat_spectrum, feat_crossings, filtered_series, edf_roundtrip, rf_channel_rank, model_scores)}
+QUERIES = {q.__name__: q for q in (feat_moments, feat_linear, feat_entropy_exact, feat_hjorth, feat_fractal, feat_entropy_pairs, feat_entropy_profile, feat_complexity, feat_spectrum, feat_crossings, feature_contract, feature_wide, filtered_series, edf_roundtrip, rf_channel_rank, model_scores)}
 
 _X = "x AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x FROM embeddings)"
 _D = "d AS (SELECT vec_id, x, list_transform(range(2, len(x) + 1), lambda i: x[i] - x[i - 1]) AS d FROM x), e AS (SELECT *, list_transform(range(2, len(d) + 1), lambda i: d[i] - d[i - 1]) AS e FROM d)"
+_CHANNEL_VALUES = {"maximum": "max(v)", "minimum": "min(v)", "mean": "round(avg(v), 6)", "meanAbsoluteValue": "round(avg(abs(v)), 6)", "numberOfZeroCrossing": "CAST(count(*) FILTER (c) AS INTEGER)"}
 SQL = {
+    "feature_wide": f"""WITH p AS (
+  SELECT l_suppkey // 20 AS recording, l_linenumber AS line, row_number() OVER (PARTITION BY l_suppkey // 20, l_linenumber ORDER BY l_orderkey, l_extendedprice) - 1 AS pos, CAST(l_extendedprice AS DOUBLE) / 100 - 300 AS v FROM lineitem),
+w AS (SELECT *, pos // 1024 AS i, (v < 0) <> lag(v < 0) OVER (PARTITION BY recording, line, pos // 1024 ORDER BY pos) AS c FROM p),
+s AS (SELECT recording, line, CAST(i AS INTEGER) AS i, {", ".join(f'{e} AS "{k}"' for k, e in _CHANNEL_VALUES.items())} FROM w GROUP BY recording, line, i HAVING count(*) = 1024)
+SELECT CAST(recording AS INTEGER) AS recording, i, {", ".join(f'round(max("{v}") FILTER (line = {n + 1}), 6) AS "{c}__{v}"' if v in ("maximum", "minimum") else f'max("{v}") FILTER (line = {n + 1}) AS "{c}__{v}"' for n, c in enumerate(CHANNELS) for v in _CHANNEL_VALUES)} FROM s GROUP BY recording, i""",
     "feat_moments": f"""WITH {_X}, m AS (SELECT vec_id, x, list_avg(x) AS m, list_var_pop(x) AS v FROM x)
 SELECT vec_id, round(list_max(x), 6) AS maximum, round(list_min(x), 6) AS minimum, round(m, 6) AS mean, round(list_median(x), 6) AS median, round(sqrt(v), 6) AS "standardDeviation", round(v, 6) AS variance,
   round(list_kurtosis_pop(x), 6) AS kurtosis, round(list_avg(list_transform(x, lambda a: (a - m) ** 3)) / v ** 1.5, 6) AS skewness FROM m""",

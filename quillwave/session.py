@@ -85,3 +85,9 @@ def clear_scratch(spark: SparkSession) -> int:
     for path in paths:
         _delete(spark, path)
     return len(paths)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input is fewer files than there are cores; for steps that compute much on each row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
