@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Fold plans are made for at most this many subjects in one group.
+from quillwave.operators.records import positions
+
+#: Groups of up to this many subjects are dealt one by one in one task; larger ones by their counts of equal weights.
 MOST_SUBJECTS = 10_000
 
 
@@ -48,16 +50,62 @@ def balanced_folds(counts: list[int], names: list[str], folds: int, seed: int =
     return out
 
 
-def fold_plan(weights: DataFrame, group: list[str], subject: str, weight: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """(group, subject, fold): a balanced plan for each group of a bounded number of subjects."""
+def fold_counts(weights: list[int], counts: list[int], folds: int, cap: bool = True) -> list[list[int]]:
+    """How many subjects of each weight (descending) go to each fold: what dealing them one by one gives.
+
+    Equal weights go to the folds in order of the load that each would have
+    before its next one; so a class is dealt at once by finding that load.
+    """
+    total = sum(counts)
+    free = [-(-total // folds) if cap else total] * folds
+    load, out = [0] * folds, []
+    for w, n in zip(weights, counts, strict=True):
+        fits = lambda t, f: min(free[f], 0 if load[f] > t else n if w == 0 else (t - load[f]) // w + 1)  # noqa: E731, B023
+        low, high = min(load), max(load) + w * n
+        while low < high:  # the least load up to which n of them start
+            mid = (low + high) // 2
+            low, high = (low, mid) if sum(fits(mid, f) for f in range(folds)) >= n else (mid + 1, high)
+        below = [fits(low - 1, f) for f in range(folds)]
+        left = n - sum(below)
+        for f in range(folds):  # those that start at that very load: the earlier folds first
+            more = min(left, fits(low, f) - below[f])
+            below[f] += more
+            left -= more
+        for f in range(folds):
+            load[f] += w * below[f]
+            free[f] -= below[f]
+        out.append(below)
+    return out
+
+
+def fold_plan(weights: DataFrame, group: list[str], subject: str, weight: str, folds: int = 5, seed: int = 42, cap: bool = True, most: int = MOST_SUBJECTS) -> DataFrame:
+    """(group, subject, fold): a balanced plan for each group.
+
+    Groups of more than ``most`` subjects get the same loads from the counts of
+    their weights; who is where among equal weights is drawn by lot.
+    """
     import pandas as pd
 
+    sizes = weights.groupBy(*group).agg(F.count(F.lit(1)).alias("_size"))
+    sized = weights.select(*group, subject, F.col(weight).cast("long").alias("_weight")).join(sizes, group)
+    types = {f.name: f.dataType.simpleString() for f in weights.schema}
+    keys = ", ".join(f"{c} {types[c]}" for c in group)
+
     def plan(block: pd.DataFrame) -> pd.DataFrame:
-        if len(block) > MOST_SUBJECTS:
-            raise ValueError(f"a fold plan has at most {MOST_SUBJECTS} subjects")
         block = block.sort_values(subject)
-        return block[[*group, subject]].assign(fold=balanced_folds(block[weight].astype(int).tolist(), block[subject].tolist(), folds, seed))
+        return block[[*group, subject]].assign(fold=balanced_folds(block["_weight"].tolist(), block[subject].tolist(), folds, seed, cap))
 
-    types = {f.name: f.dataType.simpleString() for f in weights.schema}
-    schema = ", ".join(f"{c} {types[c]}" for c in [*group, subject]) + ", fold int"
-    return weights.select(*group, subject, weight).groupBy(*group).applyInPandas(plan, schema)
+    def deal(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("_weight", ascending=False)
+        return block[[*group, "_weight"]].assign(_each=fold_counts(block["_weight"].tolist(), block["_n"].tolist(), folds, cap))
+
+    small = sized.where(F.col("_size") <= most).groupBy(*group).applyInPandas(plan, f"{keys}, {subject} {types[subject]}, fold int")
+    large = sized.where(F.col("_size") > most)
+    classes = large.groupBy(*group, "_weight").agg(F.count(F.lit(1)).alias("_n")).groupBy(*group).applyInPandas(deal, f"{keys}, _weight long, _each array<long>")
+    lot = F.md5(F.concat_ws("|", F.col(subject).cast("string"), F.lit(str(seed))))
+    # equal weights are numbered in two levels, so that a weight that most subjects have is no task
+    numbered = positions(large.withColumn("_lot", lot), [*group, "_weight"], ["_lot", subject], F.substring("_lot", 1, 4), "_place")
+    upto = F.transform("_each", lambda _, i: F.aggregate(F.slice("_each", F.lit(1), i + 1), F.lit(0).cast("long"), lambda a, v: a + v))
+    fold = F.size(F.filter(upto, lambda u: u <= F.col("_place")))
+    dealt = numbered.join(classes, [*group, "_weight"]).select(*group, subject, fold.cast("int").alias("fold"))
+    return small.unionByName(dealt)

@@ -12,11 +12,11 @@ from functools import reduce
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwave.operators.metrics import auc_roc
-from quillwave.operators.sampling import lot, minmax
+from quillwave.operators.sampling import minmax, undersample
 from quillwave.session import materialise
 
 
@@ -27,9 +27,7 @@ def complete(rows: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 
 def balanced(fit: DataFrame, key: Sequence[str], per_positive: int = 10) -> DataFrame:
     """All positives of ``fit`` and at most ``per_positive`` negatives for each, by lot, with their balanced class weight."""
-    positives = fit.where("y = 1")
-    negatives = fit.where("y = 0").orderBy(lot(*key), *key).limit(per_positive * positives.count())
-    good = positives.unionByName(negatives)
+    good = undersample(fit.withColumn("_all", F.lit(1)), ["_all"], "y", list(key), per_positive).drop("_all")
     counts = good.groupBy("y").agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_classes"))
     weights = counts.crossJoin(F.broadcast(total)).select("y", (F.col("_all") / (F.col("_classes") * F.col("_n"))).alias("weight"))  # one row per class
@@ -56,7 +54,8 @@ def channel_ranks(rows: DataFrame, features: Sequence[str], label: str, key: Seq
     spark = rows.sparkSession
     found = spark.createDataFrame([(c.split("__")[0], float(i)) for c, i in zip(features, model.featureImportances.toArray(), strict=True)], "channel string, importance double")
     summed = found.groupBy("channel").agg(F.sum("importance").alias("importance"))
-    return summed.select("channel", F.round("importance", 6).alias("importance"), F.array_position(F.lit([r.channel for r in summed.orderBy(F.col("importance").desc(), "channel").collect()]), F.col("channel")).cast("int").alias("rank"))
+    order = Window.orderBy(F.col("importance").desc(), "channel")  # a row per channel
+    return summed.select("channel", F.round("importance", 6).alias("importance"), F.row_number().over(order).alias("rank"))
 
 
 def held_out_auc(rows: DataFrame, features: Sequence[str], label: str, group: str, folds: int = 5, key: Sequence[str] = ("filename", "start_ms")) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,22 +16,112 @@ def lot(*key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
 
 
+def first_by_lot(rows: DataFrame, groups: list[str], wanted: DataFrame, key: list[str], seed: int = 42) -> DataFrame:
+    """The ``_lot_want`` first rows of each group by lot; ``wanted`` has (groups, _lot_want), one row per group.
+
+    Rows are counted by the first digits of their lot; whole counts below the
+    number wanted are taken as they are, and only the rows of the one count
+    that reaches it are ranked.  So no group is a task, and hardly any row is
+    shuffled.  NULL is a group like any other.
+    """
+    # the rows are read twice, for the counts and for the result
+    drawn = rows.withColumn("_lot_lot", lot(*key, seed=seed)).withColumn("_lot_digits", F.substring("_lot_lot", 1, 4))
+    counts = drawn.groupBy(*groups, "_lot_digits").agg(F.count(F.lit(1)).alias("_lot_n"))
+    upto = F.sum("_lot_n").over(Window.partitionBy(*groups).orderBy("_lot_digits"))
+    match = lambda a, b: reduce(lambda x, y: x & y, [a[g].eqNullSafe(b[g]) for g in groups])
+    reached = counts.withColumn("_lot_upto", upto)
+    limits = reached.join(wanted, match(reached, wanted)).select(*[reached[g] for g in groups], "_lot_want", "_lot_digits", "_lot_upto", "_lot_n")
+    # per group: the digits in which the number is reached, and how many of them are still wanted
+    edge = limits.where((F.col("_lot_upto") >= F.col("_lot_want")) & (F.col("_lot_upto") - F.col("_lot_n") < F.col("_lot_want"))).select(*groups, F.col("_lot_digits").alias("_lot_edge"), (F.col("_lot_want") - F.col("_lot_upto") + F.col("_lot_n")).alias("_lot_more"))
+    whole = limits.groupBy(*groups).agg(F.max("_lot_upto").alias("_lot_all"), F.max("_lot_want").alias("_lot_want"))
+    last = whole.join(edge, match(whole, edge), "left").select(*[whole[g].alias(f"_g{i}") for i, g in enumerate(groups)], "_lot_want", "_lot_all", "_lot_edge", "_lot_more")
+    on = reduce(lambda x, y: x & y, [drawn[g].eqNullSafe(last[f"_g{i}"]) for i, g in enumerate(groups)])
+    placed = drawn.join(last, on).where("_lot_want > 0")
+    inside = placed.where("_lot_want >= _lot_all OR _lot_digits < _lot_edge").select(*rows.columns)
+    order = Window.partitionBy(*groups).orderBy("_lot_lot", *key)
+    border = placed.where("_lot_want < _lot_all AND _lot_digits = _lot_edge").withColumn("_lot_r", F.row_number().over(order)).where("_lot_r <= _lot_more").select(*rows.columns)
+    return inside.unionByName(border)
+
+
 def undersample(rows: DataFrame, groups: list[str], label: str, key: list[str], per_positive: int = 10, seed: int = 42) -> DataFrame:
     """All positives, and of the negatives the first min(n, per_positive * positives) by lot, per group.
 
     Sampling is the feature; the lot is taken of the key, so the same rows are
     drawn whatever their order.
     """
-    whole = Window.partitionBy(*groups)
-    order = Window.partitionBy(*groups, label).orderBy(lot(*key, seed=seed), *key)
-    ranked = rows.withColumn("_p", F.count_if(F.col(label) == 1).over(whole)).withColumn("_r", F.row_number().over(order))
-    return ranked.where((F.col(label) == 1) | ((F.col(label) == 0) & (F.col("_r") <= per_positive * F.col("_p")))).drop("_p", "_r")
+    positives, negatives = rows.where(F.col(label) == 1), rows.where(F.col(label) == 0)
+    wanted = positives.groupBy(*groups).agg((F.count(F.lit(1)) * per_positive).alias("_lot_want"))
+    return positives.unionByName(first_by_lot(negatives, groups, wanted, key, seed))
 
 
 def stratified(rows: DataFrame, label: str, key: list[str], each: int, seed: int = 42) -> DataFrame:
     """At most ``each`` rows of every label, by lot."""
-    order = Window.partitionBy(label).orderBy(lot(*key, seed=seed), *key)
-    return rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each).drop("_r")
+    return first_by_lot(rows, [label], rows.groupBy(label).agg(F.lit(each).cast("long").alias("_lot_want")), key, seed)
+
+
+#: Steps between the ends of a bracket in which values are counted at once, and from how few values on they are counted one by one.
+STEPS, FEW = 4096, 10_000
+
+
+def order_statistics(rows: DataFrame, columns: Sequence[str], fractions: Sequence[float]) -> dict[str, list[float | None]]:
+    """The exact continuous quantiles of each column; NULL and NaN don't count, a column without values gives None.
+
+    Values are counted in equal steps of a bracket around the wanted rank, and
+    the bracket is narrowed to the step that holds it, until few values are left
+    in it.  A round is one aggregate of all columns, combined before the
+    shuffle; nothing is sorted, and the driver sees counts only.
+    """
+    values = rows.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    ends = values.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    # one search for each rank that is needed
+    wanted = {c: sorted({r for f in fractions for r in _ranks(f, ends[f"n_{c}"])}) for c in columns}
+    # low end, high end, rank within the bracket, values in it
+    search = {(c, r): [ends[f"lo_{c}"], ends[f"hi_{c}"], r, ends[f"n_{c}"]] for c in columns for r in wanted[c]}
+    done: dict[tuple[str, int], float] = {}
+    while search:
+        for k in [k for k, (lo, hi, _, _) in search.items() if lo == hi]:
+            done[k] = search.pop(k)[0]
+        few = {k: v for k, v in search.items() if v[3] <= FEW}
+        wide = {k: v for k, v in search.items() if v[3] > FEW}
+        parts = []
+        for i, ((c, _), (lo, hi, _, n)) in enumerate(search.items()):
+            x = F.col(c)
+            step = x if n <= FEW else F.least(F.lit(STEPS - 1), F.floor((x - lo) / ((hi - lo) / STEPS))).cast("double")
+            parts.append(F.struct(F.lit(i).alias("i"), F.when((x >= lo) & (x <= hi), step).alias("step"), x.alias("x")))
+        if not parts:
+            break
+        each = values.select(F.inline(F.array(*parts))).where("step IS NOT NULL").groupBy("i", "step").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        counts: dict[int, list] = {}
+        for r in each.collect():
+            counts.setdefault(r["i"], []).append((r["step"], r["n"], r["lo"], r["hi"]))
+        for i, k in enumerate(list(search)):
+            rank = search[k][2]
+            for _, n, lo, hi in sorted(counts[i]):
+                if rank < n:
+                    break
+                rank -= n
+            if k in few:
+                done[k] = lo
+                del search[k]
+            else:
+                search[k] = [lo, hi, rank, n]
+        assert wide.keys() >= search.keys()
+    out: dict[str, list[float | None]] = {}
+    for c in columns:
+        n, out[c] = ends[f"n_{c}"], []
+        for f in fractions:
+            if not n:
+                out[c].append(None)
+                continue
+            at = f * (n - 1)
+            low, high = done[c, _ranks(f, n)[0]], done[c, _ranks(f, n)[-1]]
+            out[c].append(low + (high - low) * (at - int(at)))
+    return out
+
+
+def _ranks(fraction: float, n: int) -> list[int]:
+    """The ranks between which a quantile lies."""
+    return [] if not n else sorted({int(fraction * (n - 1)), min(n - 1, int(fraction * (n - 1)) + 1)})
 
 
 def minmax(fit: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,10 +133,9 @@ def minmax(fit: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame
 
 
 def impute_median(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Missing values replaced by the column's median."""
-    middles = rows.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
-    out = rows.crossJoin(F.broadcast(middles))  # one row
-    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}).drop(*[f"_m_{c}" for c in columns])
+    """Missing values replaced by the column's median, exactly; a column without values stays missing."""
+    middles = order_statistics(rows, columns, [0.5])
+    return rows.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(middles[c][0]).cast("double")) for c in columns})
 
 
 def class_weights(rows: DataFrame, groups: list[str], label: str) -> DataFrame:

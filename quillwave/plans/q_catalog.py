@@ -80,8 +80,16 @@ def channel_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duration_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Least, middle, high and most duration of recordings with and without a reference electrode, also in whole seconds."""
     a = _audit(spark, d)
-    return a.groupBy("is_monopolar").agg(F.min("duration_sec").alias("shortest"), F.round(F.median("duration_sec"), 6).alias("middle"), F.max("duration_sec").alias("longest"), F.round(F.percentile("duration_sec", 0.95), 6).alias("p95"), F.count(F.lit(1)).alias("n"))
+    groups = a.groupBy("is_monopolar").agg(F.min("duration_sec").alias("shortest"), F.max("duration_sec").alias("longest"), F.count(F.lit(1)).alias("n"))
+    parts = []
+    for value in (True, False, None):  # the values a flag can have
+        middle, p95 = sampling.order_statistics(a.where(F.col("is_monopolar").eqNullSafe(F.lit(value).cast("boolean"))), ["duration_sec"], [0.5, 0.95])["duration_sec"]
+        whole = [F.lit(v).cast("double") for v in (middle, p95)]
+        parts.append(groups.where(F.col("is_monopolar").eqNullSafe(F.lit(value).cast("boolean"))).select("*", F.round(whole[0], 6).alias("middle"), F.round(whole[1], 6).alias("p95")))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("is_monopolar", "shortest", "middle", "longest", "p95", "n", *[F.floor(c).cast("long").alias(f"{c}_sec") for c in ("shortest", "middle", "longest")])
 
 
 def n_smallest(spark: SparkSession, d: str) -> DataFrame:
@@ -145,6 +153,23 @@ def balanced_fold_plan(spark: SparkSession, d: str) -> DataFrame:
     return folds.fold_plan(members, ["plan_id"], "subject", "weight")
 
 
+def group_kfold(spark: SparkSession, d: str) -> DataFrame:
+    """Folds of the subjects by their windows: the most to the fold with the least, without a bound on subjects per fold."""
+    rows = _features(spark, d).where("subject IS NOT NULL").withColumn("_all", F.lit(1))
+    weights = rows.groupBy("_all", "subject").agg(F.count(F.lit(1)).alias("weight"))
+    return folds.fold_plan(weights, ["_all"], "subject", "weight", cap=False).drop("_all")
+
+
+def fold_loads(spark: SparkSession, d: str) -> DataFrame:
+    """What the new plans balance: subjects and the sum of all weights of each plan, the folds' sizes by their bound, and no fold heavier than the lightest by more than one subject."""
+    weights = _audit(spark, d).groupBy("subject").agg(F.sum(F.coalesce("n_seizures", F.lit(0))).cast("int").alias("weight"))
+    members = _members(spark, d).select("plan_id", "subject").distinct().join(weights, "subject", "left").withColumn("weight", F.coalesce("weight", F.lit(0)))
+    placed = folds.fold_plan(members, ["plan_id"], "subject", "weight", cap=False).join(members, ["plan_id", "subject"])
+    each = placed.groupBy("plan_id", "fold").agg(F.sum("weight").alias("load"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("most"))
+    out = each.groupBy("plan_id").agg(F.sum("n").alias("n_subjects"), F.sum("load").alias("weight"), F.max("load").alias("_high"), F.min("load").alias("_low"), F.max("most").alias("_most"), F.count(F.lit(1)).alias("_folds"))
+    return out.select("plan_id", "n_subjects", "weight", ((F.col("_folds") < 5) | (F.col("_high") - F.col("_low") <= F.col("_most"))).alias("balanced"))
+
+
 def undersample_exact(spark: SparkSession, d: str) -> DataFrame:
     rows = _features(spark, d).where("label IS NOT NULL AND subject IS NOT NULL")
     return sampling.undersample(rows, ["subject"], "label", ["filename", "start_ms"], per_positive=2).select("subject", "filename", "start_ms", "label")
@@ -205,7 +230,7 @@ def interval_pairing(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     q.__name__: q for q in (
         tier_admission, tier_rollup, none_of, channel_alias, presence_share, complete_subjects, dominant_rate, channel_lists, duration_summary, n_smallest, dataset_rollup, missing_cells, complete_rows, provenance,
-        fold_roles, ring_tuning_pool, balanced_fold_plan, undersample_exact, stratified_sample, minmax_scale, impute_median, class_weights, chi2_top_k, parity_report, carry_forward_lines, interval_pairing,
+        fold_roles, ring_tuning_pool, balanced_fold_plan, group_kfold, fold_loads, undersample_exact, stratified_sample, minmax_scale, impute_median, class_weights, chi2_top_k, parity_report, carry_forward_lines, interval_pairing,
     )
 }
 
@@ -254,8 +279,8 @@ SELECT f.c AS channel, count(*) FILTER (f.v) AS n_files, count(DISTINCT subject)
 SELECT subject, rate, n FROM c QUALIFY row_number() OVER (PARTITION BY subject ORDER BY n DESC, f, rate) = 1""",
     "channel_lists": f"""WITH {_AUDIT}, f AS (SELECT DISTINCT subject, c FROM (SELECT subject, unnest(channels) AS c FROM audit) WHERE NOT list_contains({_REQ}, c))
 SELECT subject, string_agg(c, ';' ORDER BY c) AS foreign_channels FROM f GROUP BY subject""",
-    "duration_summary": f"""WITH {_AUDIT} SELECT is_monopolar, min(duration_sec) AS shortest, round(median(duration_sec), 6) AS middle, max(duration_sec) AS longest, round(quantile_cont(duration_sec, 0.95), 6) AS p95, count(*) AS n
-  FROM audit GROUP BY is_monopolar""",
+    "duration_summary": f"""WITH {_AUDIT} SELECT is_monopolar, min(duration_sec) AS shortest, round(median(duration_sec), 6) AS middle, max(duration_sec) AS longest, round(quantile_cont(duration_sec, 0.95), 6) AS p95, count(*) AS n,
+  CAST(floor(min(duration_sec)) AS BIGINT) AS shortest_sec, CAST(floor(round(median(duration_sec), 6)) AS BIGINT) AS middle_sec, CAST(floor(max(duration_sec)) AS BIGINT) AS longest_sec FROM audit GROUP BY is_monopolar""",
     "n_smallest": f"WITH {inputs.INTERVALS} SELECT filename, idx, end_ms - start_ms AS length_ms FROM intervals ORDER BY length_ms, filename, idx LIMIT 10",
     "dataset_rollup": """WITH w AS (SELECT lower(trim(subject_id)) AS subject, on_uniform_grid, label, nullif(lower(trim(filename)), '') AS filename FROM windows WHERE trim(subject_id) <> '')
 SELECT subject, count(*) AS n_windows, count(*) FILTER (coalesce(on_uniform_grid, false)) AS n_grid, count(*) FILTER (coalesce(label = 1, false)) AS n_positive, count(DISTINCT filename) AS n_files FROM w GROUP BY ROLLUP (subject)""",
@@ -266,6 +291,8 @@ t AS (SELECT plan_id, last, unnest(range(0, last + 1)) AS test_fold FROM l)
 SELECT DISTINCT n.plan_id, CAST(t.test_fold AS INTEGER) AS test_fold, n.subject, CASE WHEN n.i = t.test_fold THEN 'test' WHEN n.i = (t.test_fold + 1) % (t.last + 1) THEN 'tuning' ELSE 'fit' END AS role FROM n JOIN t USING (plan_id)""",
     "ring_tuning_pool": f"""WITH {_MEMBERS}, s AS (SELECT DISTINCT plan_id, subject FROM members), p AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY subject) - 1 AS i, count(*) OVER (PARTITION BY plan_id) AS n FROM s)
 SELECT a.plan_id, a.subject AS held_out, b.subject AS tuning FROM p a JOIN p b ON a.plan_id = b.plan_id JOIN (SELECT unnest([1, 2, 3]) AS k) k ON k < a.n AND b.i = (a.i + k) % a.n""",
+    "fold_loads": f"""WITH {_AUDIT},{_MEMBERS}, w AS (SELECT subject, sum(coalesce(n_seizures, 0)) AS weight FROM audit GROUP BY subject)
+SELECT plan_id, count(*) AS n_subjects, CAST(sum(coalesce(weight, 0)) AS BIGINT) AS weight, true AS balanced FROM (SELECT DISTINCT plan_id, subject FROM members) LEFT JOIN w USING (subject) GROUP BY plan_id""",
     "undersample_exact": f"""WITH {_FEATURES}, r AS (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY subject) AS p, row_number() OVER (PARTITION BY subject, label ORDER BY {_LOT}, filename, start_ms) AS i
   FROM features WHERE label IS NOT NULL AND subject IS NOT NULL) SELECT subject, filename, start_ms, label FROM r WHERE label = 1 OR (label = 0 AND i <= 2 * p)""",
     "stratified_sample": f"""WITH {_FEATURES} SELECT filename, start_ms, label FROM features WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_LOT}, filename, start_ms) <= 1000""",

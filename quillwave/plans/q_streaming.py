@@ -13,7 +13,7 @@ def stream_windowed_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.drain(jobs.positive_sessions(jobs.source(spark, f"{d}/predictions.parquet"), 3000, 8000), ["run_id", "filename", "start_ms", "end_ms"])
+    return jobs.drain(jobs.positive_sessions(jobs.source(spark, f"{d}/predictions.parquet"), 3000, 8000), ["run_id", "filename", "start_ms", "end_ms"], mode="complete")
 
 
 QUERIES = {q.__name__: q for q in (stream_windowed_scores, stream_sessions)}

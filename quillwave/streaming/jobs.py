@@ -20,11 +20,14 @@ def source(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(either)
 
 
-def drain(stream: DataFrame, keys: list[str], checkpoint: str | None = None) -> DataFrame:
+def drain(stream: DataFrame, keys: list[str], checkpoint: str | None = None, mode: str = "update") -> DataFrame:
     """Run an aggregating stream over all that is there and return its result table.
 
-    Complete results replace each other, each in a folder of its epoch, so that
-    a batch that is repeated after a failure writes the same folder again.
+    Each batch is put in a folder of its epoch, so that one that is repeated
+    after a failure writes the same folder again.  In ``update`` mode a batch
+    has the keys it changed, and the last epoch of each key counts; state older
+    than the watermark is given up.  Sessions can't be updated in place, they
+    need ``complete``: each batch has all of them.
     """
     spark = stream.sparkSession
     root = scratch_path(spark, "stream")
@@ -32,11 +35,15 @@ def drain(stream: DataFrame, keys: list[str], checkpoint: str | None = None) ->
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/epoch={epoch:012d}")
 
-    query = stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint or f"{root}-state").trigger(availableNow=True).foreachBatch(put).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{root}-state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
     found = spark.read.parquet(root)
-    newest = found.agg(F.max("epoch").alias("e"))
-    return found.join(F.broadcast(newest), found["epoch"] == newest["e"]).select(*keys, *[c for c in stream.columns if c not in keys])  # one row
+    rest = [c for c in stream.columns if c not in keys]
+    if mode == "update":
+        newest = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_v"))
+        return newest.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in rest])
+    last = found.agg(F.max("epoch").alias("e"))
+    return found.join(F.broadcast(last), found["epoch"] == last["e"]).select(*keys, *rest)  # one row
 
 
 def windowed_scores(predictions: DataFrame, width: str = "7 days", late: str = "30 days") -> DataFrame:
