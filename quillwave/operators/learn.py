@@ -15,6 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillwave.operators.folds import fold_plan
 from quillwave.operators.metrics import auc_roc
 from quillwave.operators.sampling import minmax, undersample
 from quillwave.session import materialise
@@ -77,3 +78,29 @@ def held_out_auc(rows: DataFrame, features: Sequence[str], label: str, group: st
     pooled = reduce(DataFrame.unionByName, out)
     counts = pooled.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     return auc_roc(pooled, ["model"], "p", "y").join(counts, "model").withColumn("auc", F.round("auc", 4))
+
+
+def paired_auc(rows: DataFrame, features: Sequence[str], optional: str, label: str, group: str, folds: int = 5, key: Sequence[str] = ("filename", "start_ms"), trees: int = 50) -> DataFrame:
+    """(fold, n_test, auc_without, auc_with, delta): forests without and with one more feature on the same rows and folds.
+
+    Folds hold whole groups and are alike in rows; the row with fold NULL is
+    over the held-out scores of all folds.  Forests are of ``trees`` trees.
+    """
+    one = complete(rows, [*features, optional], label).select("y", group, *key, *features, optional)
+    one = materialise(one, "learning")
+    plan = fold_plan(one.groupBy(F.lit(1).alias("_one"), group).agg(F.count(F.lit(1)).alias("_n")), ["_one"], group, "_n", folds, cap=False).select(group, F.col("fold").alias("_fold"))
+    data = materialise(one.join(plan, group), "learning")
+    parts = []
+    for i in sorted(r[0] for r in data.select("_fold").distinct().collect()):
+        drawn = materialise(balanced(data.where(F.col("_fold") != i).drop("_fold"), key), "drawn")
+        for name, columns in (("without", list(features)), ("with", [*features, optional])):
+            assemble = VectorAssembler(inputCols=columns, outputCol="v").transform
+            model = forest(trees).fit(assemble(minmax(drawn, drawn, columns)).select("y", "v", "weight"))
+            scored = model.transform(assemble(minmax(drawn, data.where(F.col("_fold") == i), columns)).select("y", "v"))
+            parts.append(materialise(scored.select(F.lit(i).alias("fold"), F.lit(name).alias("pool"), "y", F.round(vector_to_array("probability")[1], 9).alias("p")), "scores"))
+    scores = reduce(DataFrame.unionByName, parts)
+    both = scores.unionByName(scores.withColumn("fold", F.lit(-1)))  # -1: all folds
+    counts = both.where("pool = 'with'").groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    wide = auc_roc(both, ["fold", "pool"], "p", "y").groupBy("fold").pivot("pool", ["without", "with"]).agg(F.first("auc"))
+    out = counts.join(wide, "fold")
+    return out.select(F.when(F.col("fold") >= 0, F.col("fold")).alias("fold"), "n_test", F.round("without", 4).alias("auc_without"), F.round("with", 4).alias("auc_with"), F.round(F.col("with") - F.col("without"), 4).alias("delta"))
