@@ -6,13 +6,15 @@ with binned splits, the perceptron has sigmoid layers and no class weights.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwave.operators.folds import fold_plan
@@ -67,19 +69,29 @@ def held_out_auc(rows: DataFrame, features: Sequence[str], label: str, group: st
     fold = F.pmod(F.xxhash64(group), F.lit(folds)).cast("int")
     data = materialise(complete(rows, features, label).select("y", *key, *features, fold.alias("_fold")), "learning")
     assemble = VectorAssembler(inputCols=list(features), outputCol="v").transform
-    out = []
-    for i in sorted(r[0] for r in data.select("_fold").distinct().collect()):
+
+    def score(i: int) -> list[DataFrame]:
         drawn = materialise(balanced(data.where(F.col("_fold") != i), key), "drawn")
         fit = materialise(assemble(minmax(drawn, drawn, features)).select("y", "v", "weight"), "fit")
         test = assemble(minmax(drawn, data.where(F.col("_fold") == i), features)).select("y", "v")
+        out = []
         for name, learner in (("rf", forest()), ("logreg", logistic(fit.count())), ("mlp", perceptron(len(features)))):
             scored = learner.fit(fit).transform(test).select(F.lit(name).alias("model"), "y", F.round(vector_to_array("probability")[1], 9).alias("p"))
             out.append(materialise(scored, "scores"))
-    pooled = reduce(DataFrame.unionByName, out)
+        return out
+
+    found = _side_by_side(rows.sparkSession, score, sorted(r[0] for r in data.select("_fold").distinct().collect()))
+    pooled = reduce(DataFrame.unionByName, [s for scores in found for s in scores])
     counts = pooled.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
     return auc_roc(pooled, ["model"], "p", "y").join(counts, "model").withColumn("auc", F.round("auc", 4))
 
 
+def _side_by_side(spark: SparkSession, score: Callable[[int], list[DataFrame]], folds: list[int]) -> list[list[DataFrame]]:
+    """The folds' jobs at the same time, as cross-validation does: each fit is many small jobs that leave cores idle."""
+    with ThreadPoolExecutor(max(1, len(folds))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(score), folds))
+
+
 def paired_auc(rows: DataFrame, features: Sequence[str], optional: str, label: str, group: str, folds: int = 5, key: Sequence[str] = ("filename", "start_ms"), trees: int = 50) -> DataFrame:
     """(fold, n_test, auc_without, auc_with, delta): forests without and with one more feature on the same rows and folds.
 
@@ -90,15 +102,19 @@ def paired_auc(rows: DataFrame, features: Sequence[str], optional: str, label: s
     one = materialise(one, "learning")
     plan = fold_plan(one.groupBy(F.lit(1).alias("_one"), group).agg(F.count(F.lit(1)).alias("_n")), ["_one"], group, "_n", folds, cap=False).select(group, F.col("fold").alias("_fold"))
     data = materialise(one.join(plan, group), "learning")
-    parts = []
-    for i in sorted(r[0] for r in data.select("_fold").distinct().collect()):
+
+    def score(i: int) -> list[DataFrame]:
         drawn = materialise(balanced(data.where(F.col("_fold") != i).drop("_fold"), key), "drawn")
+        out = []
         for name, columns in (("without", list(features)), ("with", [*features, optional])):
             assemble = VectorAssembler(inputCols=columns, outputCol="v").transform
             model = forest(trees).fit(assemble(minmax(drawn, drawn, columns)).select("y", "v", "weight"))
             scored = model.transform(assemble(minmax(drawn, data.where(F.col("_fold") == i), columns)).select("y", "v"))
-            parts.append(materialise(scored.select(F.lit(i).alias("fold"), F.lit(name).alias("pool"), "y", F.round(vector_to_array("probability")[1], 9).alias("p")), "scores"))
-    scores = reduce(DataFrame.unionByName, parts)
+            out.append(materialise(scored.select(F.lit(i).alias("fold"), F.lit(name).alias("pool"), "y", F.round(vector_to_array("probability")[1], 9).alias("p")), "scores"))
+        return out
+
+    found = _side_by_side(rows.sparkSession, score, sorted(r[0] for r in data.select("_fold").distinct().collect()))
+    scores = reduce(DataFrame.unionByName, [s for each in found for s in each])
     both = scores.unionByName(scores.withColumn("fold", F.lit(-1)))  # -1: all folds
     counts = both.where("pool = 'with'").groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
     wide = auc_roc(both, ["fold", "pool"], "p", "y").groupBy("fold").pivot("pool", ["without", "with"]).agg(F.first("auc"))

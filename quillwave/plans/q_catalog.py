@@ -293,6 +293,10 @@ SELECT DISTINCT n.plan_id, CAST(t.test_fold AS INTEGER) AS test_fold, n.subject,
 SELECT a.plan_id, a.subject AS held_out, b.subject AS tuning FROM p a JOIN p b ON a.plan_id = b.plan_id JOIN (SELECT unnest([1, 2, 3]) AS k) k ON k < a.n AND b.i = (a.i + k) % a.n""",
     "fold_loads": f"""WITH {_AUDIT},{_MEMBERS}, w AS (SELECT subject, sum(coalesce(n_seizures, 0)) AS weight FROM audit GROUP BY subject)
 SELECT plan_id, count(*) AS n_subjects, CAST(sum(coalesce(weight, 0)) AS BIGINT) AS weight, true AS balanced FROM (SELECT DISTINCT plan_id, subject FROM members) LEFT JOIN w USING (subject) GROUP BY plan_id""",
+    "provenance": " UNION ALL ".join(
+        f"""SELECT '{t}' AS name, '{{"rows":' || (SELECT count(*) FROM {t}) || ',"columns":"' || (SELECT string_agg(column_name, ',' ORDER BY column_name) FROM (DESCRIBE {t})) || '"}}' AS document"""
+        for t in ("recordings", "windows", "predictions", "runs")
+    ),
     "undersample_exact": f"""WITH {_FEATURES}, r AS (SELECT *, count(*) FILTER (label = 1) OVER (PARTITION BY subject) AS p, row_number() OVER (PARTITION BY subject, label ORDER BY {_LOT}, filename, start_ms) AS i
   FROM features WHERE label IS NOT NULL AND subject IS NOT NULL) SELECT subject, filename, start_ms, label FROM r WHERE label = 1 OR (label = 0 AND i <= 2 * p)""",
     "stratified_sample": f"""WITH {_FEATURES} SELECT filename, start_ms, label FROM features WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY label ORDER BY {_LOT}, filename, start_ms) <= 1000""",

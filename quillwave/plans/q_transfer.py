@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillwave.operators import events, scoring, sweep
 from quillwave.operators.metrics import _by_score
 from quillwave.operators.windows import overlap_join, overlap_ms
-from quillwave.plans import inputs, q_events
+from quillwave.plans import inputs, q_catalog, q_events
 from quillwave.plans.inputs import FILES, INTERVALS, RECORDS, merged, split
 from quillwave.plans.q_events import AT, CRITERIA, GAP, RULES, RUN_FILE
 from quillwave.semantics import ratio
@@ -207,6 +207,11 @@ SELECT run_id, units AS threshold, CAST(tp AS BIGINT) AS tp, CAST(upto - tp AS B
 e AS (SELECT f.run_id, i.* FROM (SELECT DISTINCT run_id, filename FROM r) f JOIN intervals i USING (filename))
 SELECT run_id, CASE WHEN end_ms - start_ms < 30000 THEN 'short' ELSE 'long' END AS length, count(*) AS n_events, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.run_id = e.run_id AND r.filename = e.filename AND r.units >= {AT}
   AND r.start_ms < e.end_ms AND r.start_ms + 4000 > e.start_ms)) AS n_found FROM e GROUP BY ALL""",
+    "tier_base_shift": f"""{q_events._score_sql(scoring.ANY_HIT)},{q_catalog._AUDIT},
+full_ AS (SELECT DISTINCT filename FROM audit WHERE {q_catalog._ALL}),
+sums AS (SELECT run_id, CAST(sum(tp) AS BIGINT) AS tp_all, CAST(sum(ref_true) AS BIGINT) AS ref_true_all, CAST(sum(CASE WHEN f.filename IS NOT NULL THEN tp ELSE 0 END) AS BIGINT) AS tp_full,
+  CAST(sum(CASE WHEN f.filename IS NOT NULL THEN ref_true ELSE 0 END) AS BIGINT) AS ref_true_full FROM scored s LEFT JOIN full_ f USING (filename) GROUP BY run_id)
+SELECT *, round(tp_full / nullif(ref_true_full, 0) - tp_all / nullif(ref_true_all, 0), 6) AS sens_delta FROM sums""",
     "csv_roundtrip": "SELECT subject, filename, duration_sec, n_seizures FROM recordings",
     "partitioned_roundtrip": f"WITH {RECORDS} SELECT config, model, count(*) AS n, count(units) AS n_usable, CAST(sum(units) AS BIGINT) AS units FROM records JOIN runs USING (run_id) WHERE config = 'wide18' GROUP BY ALL",
     "pending_runs": f"""WITH {RECORDS}, w AS (SELECT DISTINCT run_id, lower(trim(s)) AS subject FROM (SELECT run_id, unnest(test_subjects) AS s FROM runs)),
