@@ -82,14 +82,38 @@ def headers(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, HEADER)
 
 
-def signals(files: DataFrame) -> DataFrame:
-    """One row per file and channel, physical values; errors as in ``headers``."""
+def resolve(labels: list[str], wanted: list[str]) -> dict[str, str | None]:
+    """The label that stands for each wanted channel: its own, or its first copy (``T8-P8-0``) where that is missing."""
+    have = [x.strip().upper() for x in labels]
+    return {c: next((labels[have.index(x)] for x in (c.upper(), f"{c.upper()}-0") if x in have), None) for c in wanted}
+
+
+def signals(files: DataFrame, channels: list[str] | None = None, rate: float | None = None) -> DataFrame:
+    """One row per file and channel, physical values; errors as in ``headers``.
+
+    With ``channels`` only these come out, under their wanted names, and a
+    missing one is a row with an error and NULL samples; with ``rate`` so is one
+    sampled otherwise.  The other channels of the file go on.
+    """
+
+    def rows_of(path: str, content: bytes) -> list[tuple]:
+        found = parse_signals(content)
+        if channels is None:
+            named = [(c, c, r, x) for c, r, x in found]
+        else:
+            by = {c: (r, x) for c, r, x in reversed(found)}
+            named = [(c, label, *by.get(label, (None, None))) for c, label in resolve([c for c, *_ in found], channels).items()]
+        out = []
+        for name, label, r, x in named:
+            fault = "missing channel" if label is None else f"sampled at {r}, not at {rate}" if rate is not None and r != rate else None
+            out.append((path, name, r, None if fault else x.tolist(), fault))
+        return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for path, content in zip(b["path"], b["content"], strict=True):
                 try:
-                    rows = [(path, c, r, x.tolist(), None) for c, r, x in parse_signals(bytes(content))]
+                    rows = rows_of(path, bytes(content))
                 except (ValueError, UnicodeDecodeError, TypeError) as e:
                     rows = [(path, None, None, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in SIGNAL.split(", ")])

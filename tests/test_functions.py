@@ -107,3 +107,14 @@ def test_edf_file(spark, tmp_path):
     assert heads["b.edf"].error and heads["b.edf"].labels is None
     got = {r.channel: r.samples for r in edf.signals(files).where("error IS NULL").collect()}
     assert np.abs(np.array(got["FP1-F7"]) - x).max() < 0.01
+
+
+def test_edf_channels_and_rates(spark, tmp_path):
+    x = np.sin(np.arange(256) / 7) * 80
+    (tmp_path / "a.edf").write_bytes(edf.encode({"FP1-F7": x, "T8-P8-0": x * 2, "T8-P8-1": x * 3}, 64))
+    files = edf.read(spark, str(tmp_path))
+    got = {r.channel: r for r in edf.signals(files, ["FP1-F7", "T8-P8", "CZ-PZ"], 64.0).collect()}
+    assert np.abs(np.array(got["T8-P8"].samples) - x * 2).max() < 0.02 and got["FP1-F7"].error is None
+    assert got["CZ-PZ"].samples is None and got["CZ-PZ"].error == "missing channel"
+    other = edf.signals(files, ["FP1-F7"], 256.0).first()
+    assert other.samples is None and "64" in other.error
