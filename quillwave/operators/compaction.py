@@ -1,7 +1,7 @@
 """Consolidating very many tiny files into few well-sized ones.
 
-1. The file manifest is listed and frozen as a table, with sizes, checksums and
-   the number of complete lines of each file.
+1. The file manifest is listed and frozen as a table, with sizes and checksums,
+   and the complete lines of the files are parsed, once.
 2. Recordings are bin-packed by size with first-fit decreasing.  A recording
    larger than a bin is cut by the hash of its starts into pieces that fill
    one bin each; the others are packed whole, in blocks of bounded length that
@@ -10,8 +10,8 @@
    record's bin depends on the record alone, all its versions meet there and
    only the last one is kept, with the number of versions.
 4. The rewritten files are read again: the versions in them have to number the
-   lines of the source, so none is lost or doubled; and the source's checksums
-   have to be those of the frozen manifest still.
+   parsed lines, so none is lost or doubled; and the source's checksums have to
+   be those of the frozen manifest still.
 5. A commit file naming the data is renamed into place.  Readers follow commit
    files only, so a job that dies leaves nothing visible.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwave.semantics import millis, normal
-from quillwave.session import materialise, scratch_path
+from quillwave.session import materialise, scratch_path, superseded
 from quillwave.sources.layouts import explode_records
 
 #: The most recordings one task packs, the least and most text bytes in a bin, the bins wanted at least where that allows, and at most.
@@ -128,6 +128,12 @@ def _put(spark: SparkSession, target: str, text: str) -> None:
     _rename(spark, staged, target)
 
 
+def _route(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    """The lines with the number of their bin, by recording and, in a large one, by the hash of the start."""
+    piece = F.pmod(F.xxhash64("start_ms"), F.col("pieces"))
+    return lines.join(plan, "filename").withColumn("bin", (F.col("bin") + piece).cast("int")).drop("pieces")
+
+
 def compact(files: DataFrame, root: str | None = None, target: int | None = None, block_items: int = BLOCK_ITEMS) -> str:
     """Consolidate ``files`` below ``root`` and return the path of the commit file.
 
@@ -143,12 +149,11 @@ def compact(files: DataFrame, root: str | None = None, target: int | None = None
     files = files.select("part_id", "filename", "body", "written_at", "attempt")
     seal = {"files": F.count(F.lit(1)), "bytes": F.sum("bytes"), "hash": F.sum(F.col("checksum").cast("decimal(38,0)"))}
     frozen, sealed = materialise(manifest(files), "manifest", **seal)
-    lines = _records(_sealed(files), []).count()
+    carried = ["filename", "written_at", "attempt", "part_id"]
+    lines, parsed = materialise(_records(_sealed(files), carried).drop("start_sec"), "lines", n=F.count(F.lit(1)))
     plan, n_bins = bins(frozen, target or target_bytes(sealed["bytes"] or 0), block_items)
 
-    placed = _sealed(files).join(plan, "filename")
-    rows = _records(placed, ["filename", "pieces", "bin", "written_at", "attempt", "part_id"])
-    rows = rows.withColumn("bin", (F.col("bin") + F.pmod(F.xxhash64("start_ms"), F.col("pieces"))).cast("int"))
+    rows = _route(lines, plan)
     version = F.max(F.struct("written_at", "attempt", "part_id", "label", "value")).alias("v")
     # the bin's number is the number of its task, which writes one file
     kept = rows.repartitionById(max(1, n_bins), "bin").groupBy("bin", "filename", "start_ms").agg(version, F.count(F.lit(1)).cast("int").alias("versions"))
@@ -159,10 +164,11 @@ def compact(files: DataFrame, root: str | None = None, target: int | None = None
     again = spark.read.schema(RECORD).parquet(data)
     parts = F.xxhash64("filename", "start_ms", "label", "value").cast("decimal(38,0)")
     wrote = again.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("versions"), F.lit(0)).alias("versions"), F.sum(parts).alias("hash")).first()
-    if wrote["versions"] != lines:
-        raise CompactionError(f"{lines} lines in {sealed['files']} files, {wrote['versions']} in the rewritten ones")
+    if wrote["versions"] != parsed["n"]:
+        raise CompactionError(f"{parsed['n']} lines in {sealed['files']} files, {wrote['versions']} in the rewritten ones")
     if manifest(files).agg(*[c.alias(k) for k, c in seal.items()]).first().asDict() != sealed:
         raise CompactionError(f"the files changed since the manifest: {sealed}")
+    superseded(lines)
     entry = {"data": data, "files": sealed["files"], "source_checksum": str(sealed["hash"]), "bins": n_bins, "rows": wrote["n"], "checksum": str(wrote["hash"])}
     commit = f"{root}/commit-{uuid.uuid4().hex}.json"
     _put(spark, commit, json.dumps(entry))

@@ -74,7 +74,7 @@ def materialise(df: DataFrame, name: str, **metrics) -> DataFrame | tuple[DataFr
 
 def superseded(table: DataFrame) -> None:
     """Delete the copy behind a table of ``materialise`` that nothing will read again."""
-    path = getattr(table, "scratch", None)
+    path = table.__dict__.get("scratch")
     if path:
         _delete(table.sparkSession, path)
 
@@ -88,6 +88,6 @@ def clear_scratch(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its input is fewer files than there are cores; for steps that compute much on each row."""
+    """``df``, a table as it was read, over all cores where it is fewer files than there are cores; for steps that compute much on each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
