@@ -96,31 +96,33 @@ def series_windows(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("file", (F.col("i") * LENGTH).alias("start"), "x")
 
 
-def channel_windows(spark: SparkSession, d: str) -> DataFrame:
-    """(recording, i, channel, x): windows of recordings with a channel per line number; x is NULL where a channel doesn't reach.
+def channel_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """((recording, i, channel) that there should be, (recording, i, channel, x) that there are): windows of recordings with a channel per line number.
 
     A recording is a group of suppliers; channels with fewer samples lack the later windows.
     """
     keys = {"recording": F.floor(F.col("l_suppkey") / 20).cast("int"), "line": F.col("l_linenumber").cast("int")}
     rows = table(spark, d, "lineitem").select(*[c.alias(k) for k, c in keys.items()], "l_orderkey", (F.col("l_extendedprice").cast("double") / 100 - 300).alias("v"))
     samples = positions(rows, list(keys), ["l_orderkey", "v"], F.floor(F.col("l_orderkey") / 65_536))
-    cut = materialise(_cut(samples, list(keys), contract.WINDOW).where(F.size("x") == contract.WINDOW), "windows")
-    every = cut.select("recording", "i").distinct().withColumn("line", F.explode(F.sequence(F.lit(1), F.lit(len(CHANNELS)))))
     name = F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), F.col("line"))
-    return every.join(cut, [*keys, "i"], "left").select("recording", "i", name.alias("channel"), "x")
+    cut = _cut(samples, list(keys), contract.WINDOW).where(F.size("x") == contract.WINDOW)
+    there = materialise(cut.select("recording", "i", name.alias("channel"), "x"), "windows")
+    every = there.select("recording", "i").distinct().withColumn("channel", F.explode(F.array(*[F.lit(c) for c in CHANNELS])))
+    return every, there
 
 
 def feature_contract(spark: SparkSession, d: str) -> DataFrame:
     """All 89 features of every channel's window, by name; NULL where the channel is missing."""
-    found = contract.with_features(spread(channel_windows(spark, d)), "x")
-    return found.select("recording", "i", "channel", *[F.round(c, 6).alias(c) for c in contract.names()])
+    every, there = channel_windows(spark, d)
+    found = contract.with_features(spread(there), "x")
+    return every.join(found, ["recording", "i", "channel"], "left").select("recording", "i", "channel", *[F.round(c, 6).alias(c) for c in contract.names()])
 
 
 def feature_wide(spark: SparkSession, d: str) -> DataFrame:
-    """One record per window with a column for each channel and statistic."""
+    """One record per window with a column for each channel and statistic, NULL where the channel is missing."""
     x = F.col("x")
     values = {"maximum": F.array_max(x), "minimum": F.array_min(x), "mean": A.mean(x), "meanAbsoluteValue": A.mean_absolute(x), "numberOfZeroCrossing": A.sign_changes(x)}
-    long = channel_windows(spark, d).select("recording", "i", "channel", *[F.when(x.isNotNull(), F.round(c, 6)).alias(k) for k, c in values.items()])
+    long = channel_windows(spark, d)[1].select("recording", "i", "channel", *[F.round(c, 6).alias(k) for k, c in values.items()])
     return contract.wide(long, ["recording", "i"], "channel", CHANNELS, list(values))
 
 

@@ -139,6 +139,15 @@ def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return sinks.read_text(a.schema, spark, path)
 
 
+def json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The runs written as one JSON document a line, lists included, and read with an explicit schema."""
+    runs = table(spark, d, "runs").select("run_id", "plan_id", "fold_label", "test_subjects", "elapsed_sec")
+    path = scratch_path(spark, "json")
+    sinks.write_documents(runs, path)
+    back = sinks.read_documents(runs.schema, spark, path)
+    return back.select("run_id", "plan_id", "fold_label", F.array_join("test_subjects", ";").alias("test_subjects"), "elapsed_sec")
+
+
 def partitioned_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Scores written by configuration and model; one configuration's partitions read back."""
     runs = table(spark, d, "runs").select("run_id", "config", "model")
@@ -155,7 +164,7 @@ def pending_runs(spark: SparkSession, d: str) -> DataFrame:
     return sinks.pending(wanted.join(files, "subject").select("run_id", "filename"), inputs.records(spark, d), ["run_id", "filename"])
 
 
-QUERIES = {q.__name__: q for q in (absolute_transfer, absolute_transfer_full, postprocessing_sensitivity, postprocessing_sensitivity_full, threshold_for_sensitivity, detection_by_length, tier_base_shift, csv_roundtrip, partitioned_roundtrip, pending_runs)}
+QUERIES = {q.__name__: q for q in (absolute_transfer, absolute_transfer_full, postprocessing_sensitivity, postprocessing_sensitivity_full, threshold_for_sensitivity, detection_by_length, tier_base_shift, csv_roundtrip, json_roundtrip, partitioned_roundtrip, pending_runs)}
 
 _BASE = f"""WITH {RECORDS},{FILES},{INTERVALS},
 rows_ AS (SELECT * FROM records WHERE split = 'test' AND grid AND units IS NOT NULL),
@@ -213,6 +222,7 @@ sums AS (SELECT run_id, CAST(sum(tp) AS BIGINT) AS tp_all, CAST(sum(ref_true) AS
   CAST(sum(CASE WHEN f.filename IS NOT NULL THEN ref_true ELSE 0 END) AS BIGINT) AS ref_true_full FROM scored s LEFT JOIN full_ f USING (filename) GROUP BY run_id)
 SELECT *, round(tp_full / nullif(ref_true_full, 0) - tp_all / nullif(ref_true_all, 0), 6) AS sens_delta FROM sums""",
     "csv_roundtrip": "SELECT subject, filename, duration_sec, n_seizures FROM recordings",
+    "json_roundtrip": "SELECT run_id, plan_id, fold_label, array_to_string(test_subjects, ';') AS test_subjects, elapsed_sec FROM runs",
     "partitioned_roundtrip": f"WITH {RECORDS} SELECT config, model, count(*) AS n, count(units) AS n_usable, CAST(sum(units) AS BIGINT) AS units FROM records JOIN runs USING (run_id) WHERE config = 'wide18' GROUP BY ALL",
     "pending_runs": f"""WITH {RECORDS}, w AS (SELECT DISTINCT run_id, lower(trim(s)) AS subject FROM (SELECT run_id, unnest(test_subjects) AS s FROM runs)),
 f AS (SELECT DISTINCT lower(trim(subject)) AS subject, lower(trim(filename)) AS filename FROM recordings WHERE subject IS NOT NULL AND filename IS NOT NULL)

@@ -38,6 +38,11 @@ def write_documents(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_documents(df_schema, spark, path: str) -> DataFrame:
+    """What ``write_documents`` wrote, with the given schema, never inferred."""
+    return spark.read.schema(df_schema).json(path)
+
+
 def pending(planned: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Planned work that isn't done yet, by its keys."""
     return planned.join(done.select(*keys).distinct(), keys, "left_anti")
