@@ -78,15 +78,17 @@ def order_statistics(rows: DataFrame, columns: Sequence[str], fractions: Sequenc
     # low end, high end, rank within the bracket, values in it
     search = {(c, r): [ends[f"lo_{c}"], ends[f"hi_{c}"], r, ends[f"n_{c}"]] for c in columns for r in wanted[c]}
     done: dict[tuple[str, int], float] = {}
+    stuck: set[tuple[str, int]] = set()  # brackets too narrow to be cut further: their values are counted one by one
     while search:
         for k in [k for k, (lo, hi, _, _) in search.items() if lo == hi]:
             done[k] = search.pop(k)[0]
-        few = {k: v for k, v in search.items() if v[3] <= FEW}
-        wide = {k: v for k, v in search.items() if v[3] > FEW}
+        few = {k for k, v in search.items() if v[3] <= FEW or k in stuck}
         parts = []
-        for i, ((c, _), (lo, hi, _, n)) in enumerate(search.items()):
-            x = F.col(c)
-            step = x if n <= FEW else F.least(F.lit(STEPS - 1), F.floor((x - lo) / ((hi - lo) / STEPS))).cast("double")
+        for i, (k, (lo, hi, _, _)) in enumerate(search.items()):
+            x = F.col(k[0])
+            # halved, so that the width of a bracket can't overflow, and never 0
+            width = max((hi / 2 - lo / 2) / STEPS, 5e-324)
+            step = x if k in few else F.least(F.lit(STEPS - 1), F.floor((x / 2 - lo / 2) / width)).cast("double")
             parts.append(F.struct(F.lit(i).alias("i"), F.when((x >= lo) & (x <= hi), step).alias("step"), x.alias("x")))
         if not parts:
             break
@@ -104,8 +106,9 @@ def order_statistics(rows: DataFrame, columns: Sequence[str], fractions: Sequenc
                 done[k] = lo
                 del search[k]
             else:
+                if [lo, hi] == search[k][:2]:
+                    stuck.add(k)
                 search[k] = [lo, hi, rank, n]
-        assert wide.keys() >= search.keys()
     out: dict[str, list[float | None]] = {}
     for c in columns:
         n, out[c] = ends[f"n_{c}"], []

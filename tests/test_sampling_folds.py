@@ -21,6 +21,8 @@ def test_order_statistics_are_exact(spark, monkeypatch):
         assert np.allclose(got[c], np.quantile(x, [0, 0.25, 0.5, 0.95, 1.0]), rtol=1e-12), c
     assert got["e"] == [None] * 5
     assert sampling.order_statistics(df.where("false"), ["a"], [0.5]) == {"a": [None]}
+    huge = spark.createDataFrame([(x,) for x in (-1.7e308, 1.7e308, 5e-324, 0.0, 1e-323, 2.0, 3.0)], "x double")
+    assert sampling.order_statistics(huge, ["x"], [0.5, 1.0])["x"] == [1e-323, 1.7e308]
     filled = sampling.impute_median(df, ["b", "e"])
     assert filled.where("b IS NULL").count() == 0 and filled.where("e IS NULL").count() == 701
 
