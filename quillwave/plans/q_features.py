@@ -97,11 +97,11 @@ def series_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def channel_windows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """((recording, i, channel) that there should be, (recording, i, channel, x) that there are): windows of recordings with a channel per line number.
+    """((recording, i, channel) that there should be, (recording, i, channel, x) that there are): windows of recordings with channels by line number.
 
-    A recording is a group of suppliers; channels with fewer samples lack the later windows.
+    A recording is a group of suppliers with four channels; those with fewer samples lack the later windows, and three are missing altogether.
     """
-    keys = {"recording": F.floor(F.col("l_suppkey") / 20).cast("int"), "line": F.col("l_linenumber").cast("int")}
+    keys = {"recording": F.floor(F.col("l_suppkey") / 20).cast("int"), "line": (F.pmod(F.col("l_linenumber") - 1, F.lit(4)) + 1).cast("int")}
     rows = table(spark, d, "lineitem").select(*[c.alias(k) for k, c in keys.items()], "l_orderkey", (F.col("l_extendedprice").cast("double") / 100 - 300).alias("v"))
     samples = positions(rows, list(keys), ["l_orderkey", "v"], F.floor(F.col("l_orderkey") / 65_536))
     name = F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), F.col("line"))
@@ -211,7 +211,7 @@ _D = "d AS (SELECT vec_id, x, list_transform(range(2, len(x) + 1), lambda i: x[i
 _CHANNEL_VALUES = {"maximum": "max(v)", "minimum": "min(v)", "mean": "round(avg(v), 6)", "meanAbsoluteValue": "round(avg(abs(v)), 6)", "numberOfZeroCrossing": "CAST(count(*) FILTER (c) AS INTEGER)"}
 SQL = {
     "feature_wide": f"""WITH p AS (
-  SELECT l_suppkey // 20 AS recording, l_linenumber AS line, row_number() OVER (PARTITION BY l_suppkey // 20, l_linenumber ORDER BY l_orderkey, l_extendedprice) - 1 AS pos, CAST(l_extendedprice AS DOUBLE) / 100 - 300 AS v FROM lineitem),
+  SELECT l_suppkey // 20 AS recording, (l_linenumber - 1) % 4 + 1 AS line, row_number() OVER (PARTITION BY l_suppkey // 20, (l_linenumber - 1) % 4 ORDER BY l_orderkey, l_extendedprice) - 1 AS pos, CAST(l_extendedprice AS DOUBLE) / 100 - 300 AS v FROM lineitem),
 w AS (SELECT *, pos // 1024 AS i, (v < 0) <> lag(v < 0) OVER (PARTITION BY recording, line, pos // 1024 ORDER BY pos) AS c FROM p),
 s AS (SELECT recording, line, CAST(i AS INTEGER) AS i, {", ".join(f'{e} AS "{k}"' for k, e in _CHANNEL_VALUES.items())} FROM w GROUP BY recording, line, i HAVING count(*) = 1024)
 SELECT CAST(recording AS INTEGER) AS recording, i, {", ".join(f'round(max("{v}") FILTER (line = {n + 1}), 6) AS "{c}__{v}"' if v in ("maximum", "minimum") else f'max("{v}") FILTER (line = {n + 1}) AS "{c}__{v}"' for n, c in enumerate(CHANNELS) for v in _CHANNEL_VALUES)} FROM s GROUP BY recording, i""",
