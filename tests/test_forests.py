@@ -80,3 +80,22 @@ def test_ranks_of_channels_leave_no_level_to_sparks_jobs(spark, monkeypatch):
     rows = _rows(spark).selectExpr("*", "CAST(y AS INT) AS label", "'f' AS filename", "monotonically_increasing_id() AS start_ms").drop("y")
     ranks = {r.channel: r["rank"] for r in learn.channel_ranks(rows, ["a__x", "b__x", "c__x"], "label").collect()}
     assert ranks == {"a": 1, "b": 2, "c": 3}
+
+
+def test_cells_without_a_feature_are_those_counted_without_it(spark):
+    rows, weights = _rows(spark), {0.0: 0.7, 1.0: 1.7}
+    learner = learn.forest(20, 4)
+    fewer = forests.without_last(forests.count_cells(learner, rows, ["a__x", "b__x", "c__x"], weights))
+    edges, codes, counts = forests.count_cells(learner, rows, ["a__x", "b__x"], weights)
+    assert [e.tolist() for e in fewer[0]] == [e.tolist() for e in edges]
+    assert fewer[1].tolist() == codes.tolist() and fewer[2].tolist() == counts.tolist()
+
+
+def test_paired_areas_leave_no_level_to_sparks_jobs(spark, monkeypatch):
+    """Ten forests, each with a job a level, took too long on 1 GB; the rows of a fold are counted once for both."""
+    monkeypatch.setattr(learn.RandomForestClassifier, "fit", lambda *_: pytest.fail("by Spark's learner"))
+    counted, once = [], forests._cells
+    monkeypatch.setattr(forests, "_cells", lambda *a: counted.append(1) or once(*a))
+    rows = _rows(spark).selectExpr("*", "CAST(y AS INT) AS label", "'f' AS filename", "monotonically_increasing_id() AS start_ms", "concat('s', pmod(hash(a__x), 20)) AS subject").drop("y")
+    found = {r.fold: r for r in learn.paired_auc(rows, ["b__x", "c__x"], "a__x", "label", "subject").collect()}
+    assert len(counted) == 5 and found[None].n_test == 1500 and found[None].auc_with > found[None].auc_without + 0.15
