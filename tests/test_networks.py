@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from quillwave.operators import learn, networks
+from quillwave.operators import learn, metrics, networks
 
 
 def test_gradient_by_differences():
@@ -89,3 +89,41 @@ def test_all_folds_in_one_job_a_step(spark, monkeypatch):
     rows = _rows(spark).selectExpr("*", "CAST(y AS INT) AS label", "'f' AS filename", "monotonically_increasing_id() AS start_ms", "concat('s', pmod(hash(a__x), 20)) AS subject").drop("y", "_drawn")
     found = {r.model: (r.auc, r.n) for r in learn.held_out_auc(rows, ["a__x", "b__x"], "label", "subject").collect()}
     assert asked[0] == 5 and found["mlp"][0] > 0.85 > found["logreg"][0] and {n for _, n in found.values()} == {900}
+
+
+def test_many_rows_are_learned_in_passes(spark, monkeypatch):
+    """200 steps of L-BFGS for each fold, each over all rows, took too long on 1 GB."""
+    rows, features = _rows(spark), ["a__x", "b__x"]
+    learner, unit = MultilayerPerceptronClassifier(layers=[2, 6, 4, 2], maxIter=60, seed=3, labelCol="y", featuresCol="v"), (np.zeros(2), np.ones(2))
+    monkeypatch.setattr(networks, "MANY", 900)
+    monkeypatch.setattr(networks, "BATCH", 4)
+    monkeypatch.setattr(networks, "_evaluate", lambda *_: pytest.fail("by steps over all rows"))
+    monkeypatch.setattr(networks, "_sizes", lambda *a, own=networks._sizes: sizes.append(own(*a)) or sizes[0])
+    sizes: list = []
+    found = networks.fit_networks(learner, rows, features, [unit, unit])
+    assert sizes == [[900, 600]]
+    data = np.asarray([tuple(r) for r in rows.select(*features, "y", "_drawn").collect()])
+    for i in range(2):
+        part = data[data[:, 3].astype(int) >> i & 1 == 1]
+        assert networks.loss_gradient(found[i], [2, 6, 4, 2], part[:, :2], part[:, 2])[0] / len(part) < 0.4
+
+
+def test_lines_are_those_of_spark(spark):
+    rows, features = _rows(spark).selectExpr("CAST(a__x + b__x > 0.5 * sin(7 * a__x * b__x) AS DOUBLE) AS y", "a__x", "b__x", "_drawn"), ["a__x", "b__x"]
+    weights, unit = {0.0: 0.8, 1.0: 1.3}, (np.zeros(2), np.ones(2))
+    blocks = networks.blocks_of(rows, features)
+    mine = networks.fit_lines(blocks, [weights, weights], [1 / 900, 1 / 600], 200, [unit, unit])
+    blocks.unpersist()
+    for i, n in enumerate((900, 600)):
+        fit = VectorAssembler(inputCols=features, outputCol="v").transform(rows.where(learn._fits(i)).withColumn("weight", learn._weight(weights)))
+        line = learn.logistic(n).setTol(1e-12).fit(fit)
+        assert mine[i] == pytest.approx([*line.coefficients.toArray(), line.intercept], rel=1e-4, abs=1e-4)
+
+
+def test_area_by_blocks(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(k, round(rng.random() ** 3, 2), float(rng.random() < 0.3)) for k in ("a", "b") for _ in range(500)] + [("c", 0.5, 1.0), ("a", None, 1.0), ("a", 0.5, None)], "k string, p double, y double")
+    found = {r.k: r for r in metrics.auc_by_blocks(rows, ["k"], "p", "y", F.floor(F.col("p") * 8)).collect()}
+    for r in metrics.auc_roc(rows, ["k"], "p", "y").collect():
+        assert found[r.k].auc == (None if r.auc is None else pytest.approx(r.auc, abs=1e-12))
+    assert {k: r.n for k, r in found.items()} == {"a": 500, "b": 500, "c": 1} and found["c"].auc is None
